@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapgraph.functions.expressions import let
-from lapgraph.storage import materialize
 
 #: Hash buckets in which rows are numbered; the table of their totals has so many rows at most, at any size.
 BUCKETS = 4096
@@ -59,7 +58,7 @@ def number_rows(rows: DataFrame) -> DataFrame:
     names = rows.columns
     groups = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bucket", F.pmod(F.xxhash64(*names), F.lit(BUCKETS)))
     within = Window.partitionBy("_bucket").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    groups = materialize(groups.withColumn("_start", F.coalesce(F.sum("_n").over(within), F.lit(0).cast("long"))))
+    groups = groups.withColumn("_start", F.coalesce(F.sum("_n").over(within), F.lit(0).cast("long")))
     totals = groups.groupBy("_bucket").agg(F.max(F.col("_start") + F.col("_n")).alias("_t"))
     whole = Window.partitionBy(F.lit(0))
     offsets = totals.select(
