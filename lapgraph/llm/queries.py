@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapgraph.llm import secrets, sharding
+from lapgraph.llm import licenses, secrets, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +22,14 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(_table(spark, sf_dir, "documents"), model)
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.report(licenses.scan(_table(spark, sf_dir, "documents")))
+    line = lambda x: F.concat_ws(":", x["label"], x["start"].cast("string"), x["end"].cast("string"))
+    return found.withColumn("spans", F.array_join(F.transform("spans", line), ","))
+
+
 def queries():
-    return {"op1_sharding": op1_sharding, "op7_secret_scans": op7_secret_scans}
+    return {"op1_sharding": op1_sharding, "op7_secret_scans": op7_secret_scans, "op9_license_scans": op9_license_scans}
 
 
 def oracle_sql():
