@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapgraph.llm import licenses, secrets, sharding
+from lapgraph.llm import chunked_bpe, licenses, packing, secrets, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,16 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
+def op5_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chunked_bpe.encode_decode(_table(spark, sf_dir, "documents"))
+    n = (F.octet_length("ids") / 4).cast("long")
+    return found.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.checksum(packing.pack(_table(spark, sf_dir, "documents"), 1024))
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = secrets.train(secrets.labelled_samples(spark))
     return secrets.scan_documents(_table(spark, sf_dir, "documents"), model)
@@ -29,7 +39,8 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_sharding": op1_sharding, "op7_secret_scans": op7_secret_scans, "op9_license_scans": op9_license_scans}
+    named = (op1_sharding, op5_chunked_bpe, op6_packing, op7_secret_scans, op9_license_scans)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql():
