@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapgraph.llm import chunked_bpe, licenses, packing, secrets, sharding
+from lapgraph.llm import chunked_bpe, licenses, mih, packing, secrets, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,8 +38,12 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("spans", F.array_join(F.transform("spans", line), ","))
 
 
+def op10_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mih.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def queries():
-    named = (op1_sharding, op5_chunked_bpe, op6_packing, op7_secret_scans, op9_license_scans)
+    named = (op1_sharding, op5_chunked_bpe, op6_packing, op7_secret_scans, op9_license_scans, op10_multi_index_hashing)
     return {f.__name__: f for f in named}
 
 
