@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapgraph.llm import chunked_bpe, licenses, mih, packing, secrets, sharding
+from lapgraph.llm import chunked_bpe, licenses, mih, packing, secrets, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(_table(spark, sf_dir, "documents"), model)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.report(licenses.scan(_table(spark, sf_dir, "documents")))
     line = lambda x: F.concat_ws(":", x["label"], x["start"].cast("string"), x["end"].cast("string"))
@@ -43,7 +47,7 @@ def op10_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    named = (op1_sharding, op5_chunked_bpe, op6_packing, op7_secret_scans, op9_license_scans, op10_multi_index_hashing)
+    named = (op1_sharding, op5_chunked_bpe, op6_packing, op7_secret_scans, op8_toxicity, op9_license_scans, op10_multi_index_hashing)
     return {f.__name__: f for f in named}
 
 
