@@ -1,8 +1,48 @@
-"""Stages over documents; filled in as the operators come."""
+"""A corpus pipeline: documents in, packed training sequences out.
 
-STAGES = []
+Toxic documents go, one document of each class of near-duplicates stays, secrets are blotted out, and what is left is
+packed. Each stage is written and read again, so a lost executor costs the stage it hits.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lapgraph.llm import dartminhash, packing, secrets, toxicity
+from lapgraph.storage import materialize
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose toxicity score is below their language's threshold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.without_toxic(docs, labels)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates: the one with the least doc_id."""
+    return dartminhash.deduplicate(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the values of secrets replaced; ``n_chars`` follows the text where it changed."""
+    model = secrets.train(secrets.labelled_samples(spark))
+    found = docs.withColumn("text", secrets.redact(F.col("text"), model))
+    return found.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 1024 ids."""
+    return packing.checksum(packing.pack(docs, 1024))
+
+
+STAGES = [("toxicity", toxicity_filter), ("near_dedup", near_dedup), ("secrets", redact_secrets), ("packing", pack)]
+#: The stages rest on trained models and on a tokenizer, which SQL cannot express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lapgraph.llm import wordhash
 from lapgraph.llm.texts import slices
@@ -29,6 +30,8 @@ TOXIC_ROWS, CLEAN_ROWS = 2000, 3000
 WORD_BITS, PREFIX_BITS, PREFIX_BYTES, SIZE, WIDTHS, FILTERS = 15, 13, 4, 12, (1, 2, 3), 16
 #: The score at which a document counts as toxic.
 CUT = 0.7
+#: Texts of the sample in which a word or prefix must occur to be told from others.
+LEAST_TEXTS = 4
 _SLOTS = 32768
 _BIN = 16  # bins of a unit of the logit
 _PAD = max(WIDTHS) - 1
@@ -142,10 +145,25 @@ def _gradient(net: Network, w: Words, label: np.ndarray) -> list[np.ndarray]:
     return grads
 
 
-def fit(texts: list[str | None], labels: list[int], epochs: int = 12, batch: int = 48, rate: float = 0.01, decay: float = 1e-4, seed: int = 0) -> Network:
+def _frequent(texts: list[str | None]) -> list[np.ndarray]:
+    """Whether a word bucket, and a prefix bucket, occurs in LEAST_TEXTS of the texts."""
+    seen = [np.zeros(2**b + 1, np.int64) for b in (WORD_BITS, PREFIX_BITS)]
+    for lo in range(0, len(texts), 256):
+        w = words_of(pa.array(texts[lo : lo + 256], pa.string()))
+        owner = np.repeat(np.arange(len(w.sizes)), w.sizes + _PAD)
+        for count, bucket in zip(seen, (w.word, w.prefix), strict=True):
+            pairs = np.unique(owner * len(count) + bucket)
+            count += np.bincount(pairs % len(count), minlength=len(count))
+    return [c >= LEAST_TEXTS for c in seen]
+
+
+def fit(texts: list[str | None], labels: list[int], epochs: int = 12, batch: int = 48, rate: float = 0.01, decay: float = 3e-3, seed: int = 0) -> Network:
     """Adam over the given rows; the same rows in the same order give the same network."""
     net, rng = Network.fresh(seed), np.random.default_rng(seed + 1)
     y = np.array(labels, "f4")
+    frequent = _frequent(texts)
+    for table, mask in zip((net.word, net.prefix), frequent, strict=True):
+        table *= mask[:, None]  # buckets that training does not know say nothing
     moments = [(np.zeros_like(x), np.zeros_like(x)) for x in net.parts()]
     step, rounds = 0, max(epochs, min(60, 250 * batch // max(1, len(texts))))
     for epoch in range(rounds):
@@ -154,6 +172,8 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 12, batch: int
         for lo in range(0, len(order), batch):
             some = order[lo : lo + batch]
             grads = _gradient(net, words_of(pa.array([texts[i] for i in some], pa.string())), y[some])
+            for g, mask in zip(grads, frequent, strict=False):
+                g *= mask[:, None]
             step += 1
             for x, g, (m, v) in zip(net.parts(), grads, moments, strict=True):
                 g = g + np.float32(decay) * x
@@ -221,6 +241,31 @@ def best_cut(counts: dict[int, tuple[int, int]]) -> float:
     return (span[0] + span[1]) / 2 / _BIN
 
 
+def _lang() -> Column:
+    return F.coalesce(F.col("lang"), F.lit(""))
+
+
+def _score(logit: Column, cut: float) -> Column:
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-(logit - F.lit(cut) + F.lit(float(np.log(CUT / (1 - CUT)))))))
+
+
+def calibrate(scored: DataFrame, labels: DataFrame, least: int) -> tuple[float, DataFrame]:
+    """The logit that suits all labelled training rows best, and ``lang, own``: the score that suits a language best."""
+    known = scored.join(training_labels(labels), "doc_id")
+    place = F.greatest(F.least(F.floor(F.col("logit") * _BIN), F.lit(1023)), F.lit(-1024)).cast("int")
+    count = lambda y: F.sum((F.col("toxic") == y).cast("long"))
+    bins = materialize(known.groupBy(_lang().alias("lang"), place.alias("bin")).agg(count(0).alias("clean"), count(1).alias("toxic")))
+    total = bins.groupBy("bin").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    cut = best_cut({r["bin"]: (r["clean"], r["toxic"]) for r in total.collect()})  # 2048 bins at most
+    down = Window.partitionBy("lang").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
+    own = bins.withColumn("true", F.sum("toxic").over(down)).withColumn("false", F.sum("clean").over(down))
+    own = own.withColumn("all", F.sum("toxic").over(Window.partitionBy("lang")))
+    own = own.withColumn("low", F.coalesce(F.lead("bin").over(Window.partitionBy("lang").orderBy(F.desc("bin"))) + 1, F.col("bin"))).where(F.col("all") >= least)
+    f1 = 2 * F.col("true") / (F.col("true") + F.col("false") + F.col("all"))
+    cuts = own.groupBy("lang").agg(F.max(F.struct(f1.alias("f1"), ((F.col("bin") + F.col("low")) / 2).alias("mid"))).alias("x"))
+    return cut, materialize(cuts.select("lang", _score(F.col("x.mid") / _BIN, cut).alias("own")))
+
+
 def classify(docs: DataFrame, labels: DataFrame, least: int = 50, seed: int = 0) -> DataFrame:
     """``doc_id, held_out, score, predicted, lang_threshold, toxic_in_lang`` of every document.
 
@@ -229,28 +274,14 @@ def classify(docs: DataFrame, labels: DataFrame, least: int = 50, seed: int = 0)
     0.7. Null texts count as empty; a null doc_id is not held out; without labels of both kinds all scores are 0.
     Repeated rows are scored alike.
     """
-    lang = F.coalesce(F.col("lang"), F.lit(""))
     held = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
     net = train(docs, labels, seed)
     if net is None:
         flat = docs.select("doc_id", held.alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
         return flat.withColumn("lang_threshold", F.lit(CUT)).withColumn("toxic_in_lang", F.lit(0))
     scored = materialize(logits(docs, net))
-    known = scored.join(training_labels(labels), "doc_id")
-    place = F.greatest(F.least(F.floor(F.col("logit") * _BIN), F.lit(1023)), F.lit(-1024)).cast("int")
-    count = lambda y: F.sum((F.col("toxic") == y).cast("long"))
-    bins = materialize(known.groupBy(lang.alias("lang"), place.alias("bin")).agg(count(0).alias("clean"), count(1).alias("toxic")))
-    total = bins.groupBy("bin").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    cut = best_cut({r["bin"]: (r["clean"], r["toxic"]) for r in total.collect()})  # 2048 bins at most
-    shift = float(np.log(CUT / (1 - CUT)))
-    score_of = lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-(x - F.lit(cut) + F.lit(shift))))
-
-    down = Window.partitionBy("lang").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
-    own = bins.withColumn("true", F.sum("toxic").over(down)).withColumn("false", F.sum("clean").over(down))
-    own = own.withColumn("all", F.sum("toxic").over(Window.partitionBy("lang"))).where(F.col("all") >= least)
-    f1 = 2 * F.col("true") / (F.col("true") + F.col("false") + F.col("all"))
-    cuts = own.groupBy("lang").agg(F.max(F.struct(f1.alias("f1"), F.col("bin"))).alias("x")).select("lang", score_of(F.col("x.bin") / _BIN).alias("own"))
-    found = scored.withColumn("lang", lang).join(cuts, "lang", "left").withColumn("score", score_of(F.col("logit"))).withColumn("lang_threshold", F.coalesce("own", F.lit(CUT)))
+    cut, cuts = calibrate(scored, labels, least)
+    found = scored.withColumn("lang", _lang()).join(cuts, "lang", "left").withColumn("score", _score(F.col("logit"), cut)).withColumn("lang_threshold", F.coalesce("own", F.lit(CUT)))
     return found.select(
         "doc_id",
         held.alias("held_out"),
@@ -259,3 +290,39 @@ def classify(docs: DataFrame, labels: DataFrame, least: int = 50, seed: int = 0)
         "lang_threshold",
         (F.col("score") >= F.col("lang_threshold")).cast("int").alias("toxic_in_lang"),
     )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, least: int = 50, seed: int = 0) -> DataFrame:
+    """``docs`` without the rows whose score reaches their language's threshold; every column stays as it is.
+
+    Rows are judged one by one, beside their own columns: they need no key, and nothing is shuffled. Without labels
+    of both kinds every row stays.
+    """
+    net = train(docs, labels, seed)
+    if net is None:
+        return docs
+    cut, cuts = calibrate(materialize(logits(docs, net)), labels, least)
+    name, lang, own = (_fresh(docs, n) for n in ("logit", "threshold_lang", "threshold"))
+    sent = docs.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "text", 1_000_000):
+                found = sent.value.logits(words_of(piece.column("text"))).astype("f8")
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(found)], [*piece.schema.names, name])
+
+    scored = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    cuts = cuts.toDF(lang, own)
+    cuts = F.broadcast(cuts) if cuts.count() <= LANGUAGES else cuts  # a row per language with labelled rows
+    found = scored.join(cuts, _lang() == F.col(lang), "left")
+    return found.where(_score(F.col(name), cut) < F.coalesce(F.col(own), F.lit(CUT))).select(*docs.columns)
+
+
+#: Languages up to which their thresholds are broadcast instead of shuffling the texts.
+LANGUAGES = 10_000
+
+
+def _fresh(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name = f"_{name}"
+    return name
