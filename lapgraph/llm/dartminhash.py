@@ -6,9 +6,10 @@ its weights. Each dart has a coordinate, and the dart of least rank is kept for
 with the probability of their weighted Jaccard similarity. Only as much of the plane is looked at as fills all
 coordinates: the work is in proportion to the elements plus k log k.
 
-Bands of coordinates are joined. In each bucket every text meets one representative, so a bucket of any size gives as
-many pairs as members. Where some member is unlike the representative, the bucket is split by pairs of bands, with
-representatives drawn anew in each part, so that texts which are alike in a mixed bucket still meet. Pairs are judged
+Bands of coordinates are joined. In each bucket every text meets one representative (the member that shares most buckets),
+so a bucket of any size gives as many pairs as members, and a text meets few representatives. Where the pairs found alike leave a bucket in several components, it is split by pairs of bands, with
+representatives drawn anew in each part, so that texts which are alike in a mixed bucket still meet; pairs within a
+component need no second look. Pairs are judged
 by their sketches (a byte of each coordinate), and exactly, from all elements, where the sketch leaves doubt.
 
 A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**6)**32 = 0.99994, and two bands, as the second
@@ -160,10 +161,22 @@ def sign(docs: DataFrame) -> DataFrame:
     return named.mapInArrow(run, f"doc_id {kind}, node long, bands array<long>, sketch binary")
 
 
-def _star(buckets: DataFrame, representative) -> DataFrame:
-    """``bucket, node, rep`` of all members but the representative, in buckets of two members or more."""
-    reps = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), representative.alias("rep")).where("members > 1")
-    return buckets.join(reps, "bucket").where("node != rep").select("bucket", "node", "rep", "members")
+def _shared(buckets: DataFrame) -> DataFrame:
+    """``bucket, node`` of the rows whose bucket has another member."""
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    return buckets.join(sizes.select("bucket"), "bucket", "left_semi").select("bucket", "node")
+
+
+def _popular(shared: DataFrame) -> DataFrame:
+    """``bucket, rep``: the member that shares most buckets, so that few texts represent many buckets."""
+    often = shared.groupBy("node").agg(F.count(F.lit(1)).alias("often"))
+    best = F.max(F.struct(F.col("often"), F.col("node")))["node"]
+    return shared.join(often, "node").groupBy("bucket").agg(best.alias("rep"))
+
+
+def _star(shared: DataFrame, reps: DataFrame) -> DataFrame:
+    """``node, rep`` of all members but the representative."""
+    return shared.join(reps, "bucket").where("node != rep").select("node", "rep").distinct()
 
 
 def _estimate(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -242,16 +255,22 @@ def links(signed: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> Data
     texts = materialize(signed.where("bands is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     sketches = texts.select("node", "sketch")
     buckets = texts.select("node", F.explode("bands").alias("bucket"))
-    met = materialize(_star(buckets, F.min("node")))
-    pairs = materialize(met.select("node", "rep").distinct())
+    shared = materialize(_shared(buckets))
+    pairs = materialize(_star(shared, _popular(shared)))
     first = materialize(_verified(pairs, sketches, docs, least))
-    unlike = pairs.join(first, ["node", "rep"], "left_anti")
-    mixed = met.where("members > 2").join(unlike, ["node", "rep"], "left_semi").select("bucket").distinct()
-    again = buckets.join(mixed, "bucket", "left_semi").join(texts.select("node", "bands"), "node")
-    parts = again.select("node", "bucket", F.explode("bands").alias("other")).where("bucket != other")
-    parts = parts.select("node", F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("bucket")).distinct()
-    drawn = F.min_by("node", F.xxhash64("node", "bucket"))
-    more = _star(parts, drawn).select(F.greatest("node", "rep").alias("node"), F.least("node", "rep").alias("rep")).distinct()
+    joined = materialize(connected_components(first, "node", "rep"))
+
+    member = shared.join(joined.select(F.col("vertex").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
+    # texts that share two bands share two mixed buckets, unless they are in one component already
+    own = member.join(mixed, "bucket", "left_semi").groupBy("node", "component").agg(F.array_sort(F.collect_list("bucket")).alias("own"))  # BANDS at most
+    both = F.flatten(F.transform("own", lambda b, i: F.transform(F.slice("own", i + 2, BANDS), lambda c: F.xxhash64(b, c))))
+    parts = materialize(own.select("node", "component", F.explode(both).alias("bucket")))
+    drawn = F.min_by(F.struct("node", "component"), F.xxhash64("node", "bucket"))
+    spans = parts.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), drawn.alias("rep")).where("lo != hi")
+    spans = spans.select("bucket", F.col("rep.node").alias("rep"), F.col("rep.component").alias("rep_component"))
+    more = parts.join(spans, "bucket").where("component != rep_component")
+    more = more.select(F.greatest("node", "rep").alias("node"), F.least("node", "rep").alias("rep")).distinct()
     more = more.join(pairs.select(F.greatest("node", "rep").alias("node"), F.least("node", "rep").alias("rep")), ["node", "rep"], "left_anti")
     return first.unionByName(_verified(materialize(more), sketches, docs, least))
 

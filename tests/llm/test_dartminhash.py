@@ -86,7 +86,8 @@ def test_a_hot_group_gives_pairs_in_proportion(make_docs):
     from pyspark.sql import functions as F
 
     buckets = signed.select("node", F.explode("bands").alias("bucket"))
-    assert dm._star(buckets, F.min("node")).count() < 120 * dm.BANDS
+    shared = dm._shared(buckets)
+    assert dm._star(shared, dm._popular(shared)).count() < 120 * dm.BANDS
     assert {r["class_id"] for r in dm.classes(make_docs(texts)).collect()} == {0}
 
 
