@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapgraph.llm import wordhash
-from lapgraph.llm.texts import slices
+from lapgraph.llm.texts import hashed_sample, slices
 from lapgraph.storage import materialize
 
 STATES = 8
@@ -130,8 +130,19 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
-    """The frequent words (``head`` at most) and sums over all others by tail class."""
-    top = counts.orderBy(F.desc("n"), "h").limit(head).toArrow().combine_chunks()
+    """The frequent words (``head`` at most) and sums over all others by tail class.
+
+    The least count of a frequent word is read off a histogram of counts (16 bins an octave): as many whole bins as fit.
+    """
+    place = F.floor(F.log2("n") * 16).cast("int")
+    bins = sorted(((r[0], r[1]) for r in counts.groupBy(place).count().collect()), reverse=True)  # 1,024 at most
+    taken, least = 0, None
+    for b, size in bins:
+        taken += size
+        if taken > head:
+            break
+        least = b
+    top = counts.where(place >= least if least is not None else F.lit(False)).toArrow().combine_chunks()  # ``head`` rows at most
     get = lambda t, c: t.column(c).to_numpy() if t.num_rows else np.zeros(0, np.int64)
     h, n, t = (get(top, c) for c in ("h", "n", "tail"))
     by = counts.groupBy("tail").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types"), F.sum((F.col("n") == 1).cast("long")).alias("once")).toArrow()
@@ -305,7 +316,7 @@ def fit(encoded: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: int
     """Baum-Welch over the rows of ``encoded`` (written) that are not held out."""
     frequencies = vocab.frequencies()
     model, known = Model.fresh(frequencies, states, seed), encoded.where(~F.col("held_out"))
-    some = known.orderBy(F.xxhash64("doc_id"), F.xxhash64("classes")).select("classes").limit(SAMPLE).toArrow()
+    some = hashed_sample(known.select("classes", "doc_id"), SAMPLE, known.count(), "doc_id", "classes").toArrow()
     sample = Sequences.of(some.column("classes").to_pylist())
     for _ in range(SAMPLE_ROUNDS if len(sample.size) else 0):
         model = maximized(*expected(model, sample)[:3], frequencies)

@@ -24,6 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapgraph.llm.texts import hashed_sample
+from lapgraph.storage import materialize
+
 SAMPLE = 8192  #: vectors from which the rotations are learned, at most
 CALIBRATION = 128  #: queries by which the radius is chosen, about and at most twice as many
 QUERIES = 32768  #: queries of one group, about
@@ -185,10 +188,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, column: str = "emb
         return empty
     index = rows.where(F.size("v") == dimension["d"])
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    stats = index.agg(F.max(length).alias("norm"), F.sum(F.col("_q").cast("long")).alias("queries")).first()
+    stats = index.agg(F.max(length).alias("norm"), F.sum(F.col("_q").cast("long")).alias("queries"), F.count(F.lit(1)).alias("rows")).first()
     if not stats["queries"]:
         return empty
-    _, sample = _gather(index.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(SAMPLE))
+    _, sample = _gather(hashed_sample(index, SAMPLE, stats["rows"], "vec_id"))
     codes = learn(sample, stats["norm"], seed=seed)
     bits = codes.planes.shape[1]
 
@@ -219,8 +222,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, column: str = "emb
 
 
 def _answers(index: DataFrame, codes: Codes, ids: np.ndarray, x: np.ndarray, members: dict[int, list[int]], radius: int, k: int) -> DataFrame:
-    from lapgraph.storage import materialize
-
     spark, bits = index.sparkSession, codes.planes.shape[1]
     best = materialize(_scan(index, codes, ids, x, radius, k + 1))
     if radius < bits:

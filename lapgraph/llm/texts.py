@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text (or one row, if longer) and rows that a slice of a batch holds at most.
 SLICE_BYTES, SLICE_ROWS = 4_000_000, 4096
@@ -23,3 +26,15 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, rows: i
         total += int(n)
     if len(sizes) > start:
         yield batch.slice(start)
+
+
+def hashed_sample(df: DataFrame, n: int, total: int, *key: str | Column) -> DataFrame:
+    """The n rows of least hash of ``key`` (all, if there are no more), the same on every call.
+
+    Rows whose hash is surely too great are filtered where they lie, so that the last sort sees little more than n rows
+    at any size of the table of ``total`` rows.
+    """
+    h = F.xxhash64(*key)
+    share = (n + 6 * math.sqrt(n) + 10) / max(1, total)
+    some = df if share >= 0.9 else df.where(h < F.lit(int(-(2**63) + share * 2**64)).cast("long"))
+    return some.orderBy(h, *key).limit(n)

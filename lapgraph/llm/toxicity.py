@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lapgraph.llm import wordhash
-from lapgraph.llm.texts import slices
+from lapgraph.llm.texts import hashed_sample, slices
 from lapgraph.storage import materialize
 
 #: Labelled rows of each label from which the network is fitted, at most.
@@ -200,7 +200,8 @@ def training_labels(labels: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, seed: int = 0) -> Network | None:
     """A network from TOXIC_ROWS and CLEAN_ROWS labelled documents at most; None unless both labels occur."""
     known = training_labels(labels)
-    some = lambda y, n: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    there = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    some = lambda y, n: hashed_sample(known.where(F.col("toxic") == y), n, there.get(y, 0), "doc_id")
     chosen = some(1, TOXIC_ROWS).unionByName(some(0, CLEAN_ROWS))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toArrow().sort_by("doc_id")  # bounded by the limits
     labels_of = rows.column("toxic").to_pylist()
