@@ -229,7 +229,7 @@ def star_edges(weight: np.ndarray, kept: np.ndarray, seed: int, first: int, step
 def approximate_solve(pivots: np.ndarray, inverse: np.ndarray, ends: np.ndarray, to: np.ndarray, share: np.ndarray, uneliminated: int, y: np.ndarray) -> np.ndarray:
     """One pass down and one up over the steps, for right sides (n, s)."""
     x = y.copy()
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    starts = np.concatenate([[0], ends])[: len(ends)].astype(np.int64)
     if y.shape[1] == 1:  # plain numbers are faster than short arrays
         z, t, s = x[:, 0].tolist(), to.tolist(), share.tolist()
         spans = list(zip(pivots.tolist(), inverse.tolist(), starts.tolist(), ends.tolist(), strict=True))
