@@ -157,8 +157,8 @@ def _customer_path(spark, d, shift: Column) -> Matrix:
 
 @_query(
     "q04_balance",
-    """select c_custkey as "row", ((c_custkey % 4) - 1) * 0.5 as excess, case when c_custkey % 4 = 0 then 'deficit' when c_custkey % 4 = 1 then 'negligible' else 'surplus' end as class,
-    greatest(((c_custkey % 4) - 1) * 0.5, 0.0) as surplus from customer""",
+    """select c_custkey as "row", cast(((c_custkey % 4) - 1) * 0.5 as double) as excess, case when c_custkey % 4 = 0 then 'deficit' when c_custkey % 4 = 1 then 'negligible' else 'surplus' end as class,
+    cast(greatest(((c_custkey % 4) - 1) * 0.5, 0.0) as double) as surplus from customer""",
 )
 def q04(spark, d):
     m = _customer_path(spark, d, ((F.col("c_custkey") % 4) - 1) * F.lit(0.5))
@@ -373,7 +373,7 @@ def q22(spark, d):
 @_query(
     "q23_exact_triangle",
     """with s as (select min(o_orderkey) block, count(*) m from orders group by o_custkey having count(*) between 2 and 25), e as (select block, m, unnest(range(1, m)) i from s)
-    select block, cast(i as bigint) as i, cast(i as bigint) as j, 1.0 as value from e union all select block, i, i - 1, -1.0 from e where i > 1""",
+    select block, cast(i as bigint) as i, cast(i as bigint) as j, cast(1 as double) as value from e union all select block, i, i - 1, cast(-1 as double) from e where i > 1""",
 )
 def q23(spark, d):
     o = _orders(spark, d)
