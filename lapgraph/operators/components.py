@@ -1,18 +1,70 @@
 """Connected components by large-star and small-star contraction.
 
-Each round links every vertex to the least one it knows, first among all neighbours, then among the smaller ones. Rounds
+Each round links every vertex to the least one it knows, first among all neighbours, then among the smaller ones. Before
+that, each task joins what its own edges join, so that only edges between pieces are left to the rounds. Rounds
 are logarithmic in the number of vertices on the graphs that occur, long paths included. Only minima are
 aggregated (partially before the shuffle), so no neighbourhood meets in one task; joins on a hot vertex can be split by AQE.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapgraph.storage import materialize
 
 
+#: Edges that a task joins at once.
+CHUNK = 500_000
+
+
+def least_labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices of the edges and the least vertex that each is joined to."""
+    names, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = flat[: len(u)], flat[len(u) :]
+    root = np.arange(len(names))
+    while len(a):
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return names, names[root]
+
+
+def _joined_locally(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) to the least vertices of the pieces that each chunk's edges form."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            u, v = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("u", "v"))
+            names, roots = least_labels(u, v)
+            apart = names != roots
+            return pa.RecordBatch.from_arrays([pa.array(names[apart]), pa.array(roots[apart])], ["u", "v"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= CHUNK:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -31,8 +83,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: i
 
     Edges with a null end and loops are ignored, repeated edges count once.
     """
-    e = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u != v")
-    e = materialize(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where("u != v")
+    e = materialize(_joined_locally(e).distinct())
     state = None
     for _ in range(rounds):
         e = materialize(_small_star(_large_star(e)))

@@ -18,6 +18,7 @@ import numpy as np
 from lapgraph.model import DenseFailure
 
 _MASK = (1 << 64) - 1
+SMALL = 40  #: stars up to this size are sampled without arrays
 
 
 def degree_bucket(degree: int, base: int) -> int:
@@ -35,8 +36,9 @@ def mix(x):
 def uniform(seed: int, *keys: np.ndarray) -> np.ndarray:
     """Numbers in [0, 1) that depend on the keys alone."""
     h = np.full(np.broadcast_shapes(*[np.shape(k) for k in keys]), seed & _MASK, np.uint64)
-    for k in keys:
-        h = mix(h + np.uint64(0x9E3779B97F4A7C15) * (np.asarray(k).astype(np.uint64) + np.uint64(1)))
+    with np.errstate(over="ignore"):
+        for k in keys:
+            h = mix(h + np.uint64(0x9E3779B97F4A7C15) * (np.asarray(k).astype(np.uint64) + np.uint64(1)))
     return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
@@ -172,19 +174,21 @@ def eliminate(diagonal: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray,
             key[q] -= kept
             moved(q)
             continue
-        weight = np.array([s[3] for s in star])
-        total = float(weight.sum())
+        small = len(star) <= SMALL
+        weight = [s[3] for s in star] if small else np.array([s[3] for s in star])
+        total = sum(weight) if small else float(weight.sum())
         out.to += [s[1] for s in star]
         change = [-s[2] for s in star]
         for _, q, _, x in star:
             diag[q] -= x
-        if not (np.isfinite(total) and total > 0):
+        if not 0 < total < np.inf:
             out.inverse.append(_reciprocal(diag[p]))
             out.share += [1.0 / len(star)] * len(star)
         else:
             out.inverse.append(_reciprocal(total))
-            out.share += (weight / total).tolist()
-            for i, j, x in star_edges(weight, np.array([s[2] for s in star]), seed, first, step):
+            out.share += [x / total for x in weight] if small else (weight / total).tolist()
+            drawn = small_star_edges(star, seed, first, step) if small else star_edges(weight, np.array([s[2] for s in star]), seed, first, step)
+            for i, j, x in drawn:
                 a, b = star[i][1], star[j][1]
                 diag[a] += x
                 diag[b] += x
@@ -205,6 +209,40 @@ def eliminate(diagonal: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray,
     return out
 
 
+def _mixed(x: int) -> int:
+    """``mix`` of one number."""
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _MASK
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _MASK
+    return x ^ (x >> 31)
+
+
+def small_star_edges(star: list[tuple], seed: int, first: int, step: int) -> list[tuple[int, int, float]]:
+    """``star_edges`` of a short star (weight per copy, neighbour, copies, weight), with the same draws in plain numbers."""
+    m, out = len(star), []
+    suffix = [0.0] * (m + 1)
+    for i in range(m - 1, -1, -1):
+        suffix[i] = suffix[i + 1] + star[i][3]
+    total, gold = suffix[0], 0x9E3779B97F4A7C15
+    base = seed & _MASK
+    if m > 2:
+        for k in (first, step):
+            base = _mixed((base + gold * (k + 1)) & _MASK)
+    for i in range(m - 1):
+        kept, upper = star[i][2], suffix[i + 1]
+        x = star[i][3] * (upper / total) / kept
+        if not x > 0:
+            continue
+        own = _mixed((base + gold * (i + 1)) & _MASK) if m > 2 else 0
+        for c in range(kept):
+            j = i + 1
+            if j < m - 1:
+                r = upper * (1.0 - (_mixed((own + gold * (c + 1)) & _MASK) >> 11) * 2.0**-53)
+                while j < m - 1 and suffix[j + 1] >= r:
+                    j += 1
+            out.append((i, j, x))
+    return out
+
+
 def star_edges(weight: np.ndarray, kept: np.ndarray, seed: int, first: int, step: int) -> list[tuple[int, int, float]]:
     """The sampled edges (entry, later entry, weight) of a star in ascending order.
 
