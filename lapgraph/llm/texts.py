@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Iterator
 
@@ -11,7 +12,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text (or one row, if longer) and rows that a slice of a batch holds at most.
-SLICE_BYTES, SLICE_ROWS = 4_000_000, 4096
+SLICE_BYTES, SLICE_ROWS = 2_000_000, 4096
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def tidy() -> None:
+    """Give memory that is free back to the machine: workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
@@ -26,6 +37,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, rows: i
         total += int(n)
     if len(sizes) > start:
         yield batch.slice(start)
+    tidy()
 
 
 def hashed_sample(df: DataFrame, n: int, total: int, *key: str | Column) -> DataFrame:
