@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
@@ -43,3 +44,15 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, whatever folder the driver runs in.
+
+    On a cluster whose machines do not share that folder, the package is to be installed or sent with --py-files.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    own = spark.sparkContext.environment
+    paths = own.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        own["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
