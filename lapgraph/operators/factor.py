@@ -1,7 +1,8 @@
 """The factor of a matrix: a table with a row per block, and what can be done with it.
 
 Blocks are independent: they are factored and solved in parallel, a batch of blocks per Arrow batch. Blocks of one size
-on the exact arm are handled together. A block must fit one task; ``rounds`` holds the way for greater ones.
+on the exact arm are handled together. A block of up to LOCAL vertices is the work of one task; greater ones are
+eliminated in ``rounds``, each a job over all of them.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapgraph.model import Config, DenseFactorizationFailed, DenseFailure, ExactFailure, FactorError, Fallback, SolveError
-from lapgraph.operators import kernels
+from lapgraph.operators import kernels, rounds
 from lapgraph.operators.ingest import Graph, ingest
 from lapgraph.sources.matrix import Matrix, from_any, from_csr
 from lapgraph.storage import materialize
@@ -27,6 +28,8 @@ STEPS = "steps array<struct<vertex: bigint, inverse: double, to: array<bigint>,
 SCHEMA = f"block long, dim long, anchor string, arm string, vertices array<long>, lower array<double>, {STEPS}, uneliminated long, fallback string, fallback_vertex long, failure string"
 #: Scalars of a packed triangle beyond which a block is not factored exactly.
 MOST_SCALARS = 200_000_000
+#: Vertices up to which a block is factored in one task.
+LOCAL = 2_000_000
 
 
 def _gathered(graph: Graph) -> DataFrame:
@@ -132,11 +135,15 @@ def _named(systems: list, vertices: np.ndarray, x: np.ndarray):
 
 @dataclass
 class Factor:
-    """``blocks``: the factor table. ``original_n``: rows of the matrix; with a ground there is one variable more."""
+    """``blocks``: the factor table. ``original_n``: rows of the matrix; with a ground there is one variable more.
+
+    ``large``: the factor of the blocks that no single task holds, if there are any.
+    """
 
     blocks: DataFrame
     original_n: int
     config: Config
+    large: rounds.RoundFactor | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -144,7 +151,8 @@ class Factor:
 
     @property
     def n(self) -> int:
-        return self.original_n + self.blocks.where("anchor = 'ground'").count()
+        own = self.blocks.where("anchor = 'ground'").count()
+        return self.original_n + own + (self.large.graph.vertices.where(F.col("vertex") == self.original_n).count() if self.large else 0)
 
     @property
     def shape(self) -> tuple[int, int]:
@@ -156,7 +164,7 @@ class Factor:
 
     @property
     def n_steps(self) -> int:
-        return self.blocks.agg(F.coalesce(F.sum(F.col("dim") - 1), F.lit(0))).first()[0]
+        return self.blocks.agg(F.coalesce(F.sum(F.col("dim") - 1), F.lit(0))).first()[0] + (self.large.n_steps if self.large else 0)
 
     def fallbacks(self) -> list[Fallback]:
         rows = self.blocks.where("fallback is not null").select("block", "fallback", "fallback_vertex", "failure", "dim").orderBy("block").collect()
@@ -188,7 +196,13 @@ class Factor:
                         systems = pa.array([s for s, _, _ in found], pa.string()).take(names)
                         yield pa.RecordBatch.from_arrays([systems, pa.array(np.concatenate([v for _, v, _ in found])), pa.array(np.concatenate([x for *_, x in found]))], ["system_id", "vertex", "value"])
 
-        return work.mapInArrow(run, "system_id string, vertex long, value double").where(F.col("vertex") < n)
+        found = work.mapInArrow(run, "system_id string, vertex long, value double").where(F.col("vertex") < n)
+        if self.large is None:
+            return found
+        if named:
+            raise SolveError("blocks eliminated in rounds take one right side at a time")
+        other = self.large.solve(rhs.select("vertex", "value").join(self.large.graph.vertices.select("vertex"), "vertex", "left_semi"), gauge)
+        return found.unionByName(other.select(F.lit(None).cast("string").alias("system_id"), "vertex", "value"))
 
     def solve_array(self, b, gauge: str = "canonical") -> np.ndarray:
         """The solution for an array of up to ``original_n`` values, on the driver."""
@@ -216,7 +230,9 @@ class Factor:
         out[: self.original_n] = self.solve_array(b, gauge)
 
     def save(self, path: str) -> None:
-        """Write the factor as Parquet tables."""
+        """Write the factor as Parquet tables; one with blocks eliminated in rounds is not written."""
+        if self.large is not None:
+            raise FactorError("blocks eliminated in rounds cannot be saved")
         meta = json.dumps({"format_version": FORMAT_VERSION, "original_n": self.original_n, "config": self.config.to_json()})
         self.blocks.write.mode("overwrite").parquet(f"{path}/blocks")
         self.spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
@@ -268,12 +284,26 @@ def faults(blocks: DataFrame) -> DataFrame:
     return blocks.select("block", F.explode(kinds).alias("kind"))
 
 
-def factorize(source, config: Config | None = None, spark: SparkSession | None = None, checked: bool = True) -> Factor:
-    """The factor of a Matrix, or of anything ``from_any`` reads (then a session is needed)."""
+def _part(graph: Graph, blocks: DataFrame) -> Graph:
+    """The part of a graph that lies in some blocks."""
+    own = lambda df: materialize(df.join(blocks, "block", "left_semi"))
+    return Graph(own(graph.vertices), own(graph.edges), graph.n, graph.grounded)
+
+
+def factorize(source, config: Config | None = None, spark: SparkSession | None = None, checked: bool = True, local: int = LOCAL) -> Factor:
+    """The factor of a Matrix, or of anything ``from_any`` reads (then a session is needed).
+
+    Blocks of more than ``local`` vertices are eliminated in rounds, whatever arm the configuration names.
+    """
     config = config or Config()
     matrix = source if isinstance(source, Matrix) else from_any(spark or SparkSession.getActiveSession(), source)
-    blocks = materialize(factor_blocks(ingest(matrix, checked), config))
-    factor = Factor(blocks, matrix.n, config)
+    graph, large = ingest(matrix, checked), None
+    sizes = graph.blocks().select("block", (F.col("dim") > local).alias("large"))
+    if matrix.n > local and not (big := materialize(sizes.where("large").select("block"))).isEmpty():
+        large = rounds.eliminate(_part(graph, big), config.seed, config.copies)
+        graph = _part(graph, sizes.where("not large").select("block"))
+    blocks = materialize(factor_blocks(graph, config))
+    factor = Factor(blocks, matrix.n, config, large)
     found = factor.fallbacks() if config.backend.max_dim else []
     broken = [f for f in found if f.kind == "invalid_pivot"]
     if broken and config.backend.on_failure is ExactFailure.ERROR:

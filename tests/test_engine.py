@@ -206,6 +206,18 @@ def test_rounds_on_grid_and_grounded_tree(spark):
     assert [got[i] for i in range(9)] == pytest.approx(np.linalg.solve(_dense(tree), e))
 
 
+def test_large_blocks_are_eliminated_in_rounds(spark):
+    edges = generators.path(spark, 30).unionByName(generators.path(spark, 5).select((F.col("u") + 30).alias("u"), (F.col("v") + 30).alias("v"), "w"))
+    m = from_edges(edges, 35)
+    b = np.arange(35) % 5 - 2.0
+    f = factorize(m, local=10)
+    assert f.large is not None and f.blocks.count() == 1 and (f.n, f.n_steps) == (35, 33)
+    for gauge in ("canonical", "anchored"):
+        assert f.solve_array(b, gauge) == pytest.approx(factorize(m).solve_array(b, gauge), abs=1e-9)
+    with pytest.raises(SolveError):
+        f.solve(spark.createDataFrame([("a", 1, 1.0)], "system_id string, vertex long, value double"))
+
+
 def test_fallback_policies(spark):
     big, small = 2.0**500, 2.0**-500
     arrays = ([0, 2, 5, 7], [0, 1, 0, 1, 2, 1, 2], [big, -big, -big, big + small, -small, -small, small], 3)
