@@ -1 +1 @@
-
+"""No operator of this engine works on a stream; what runs repeatedly starts from written tables."""
