@@ -8,12 +8,14 @@ coordinates: the work is in proportion to the elements plus k log k.
 
 Bands of coordinates are joined. In each bucket every text meets one representative (the member that shares most buckets),
 so a bucket of any size gives as many pairs as members, and a text meets few representatives. Where the pairs found alike leave a bucket in several components, it is split by pairs of bands, with
-representatives drawn anew in each part, so that texts which are alike in a mixed bucket still meet; pairs within a
-component need no second look. Pairs are judged
+representatives drawn anew in each part, which joins what is dense; pairs within a component need no second look.
+Texts that then still share a bucket with a text of another component that they never met go through an exact join by
+prefixes: of two alike texts, the first common element in order of rarity stands early in both, so that only early
+elements are joined. What a whole family shares stands late, and its members do not meet by it. Pairs are judged
 by their sketches (a byte of each coordinate), and exactly, from all elements, where the sketch leaves doubt.
 
-A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**6)**32 = 0.99994, and two bands, as the second
-step needs, with 0.9992; at 0.9 both exceed 1 - 1e-9.
+A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**6)**32 = 0.99994, at 0.9 with more than 1 - 1e-9;
+a pair that shares a band is in one component, compared, or ruled out by its sizes and the order of its elements.
 """
 
 from __future__ import annotations
@@ -240,23 +242,76 @@ def _exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("node", "rep", "h1", "c1", "h2", "c2").mapInArrow(run, "node long, rep long, similarity double")
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """The pairs (node, rep) that are similar enough."""
+def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, least: float, sets: DataFrame | None = None) -> DataFrame:
+    """The pairs (node, rep) that are similar enough; ``sets``: the elements of their texts, if they are at hand."""
     judged = materialize(_estimate(pairs, sketches).where(F.col("estimate") >= SURELY_NOT - (SIMILARITY - least)))
     sure = judged.where(F.col("estimate") >= SURELY).select("node", "rep")
     doubt = judged.where(F.col("estimate") < SURELY).select("node", "rep")
+    if sets is not None:
+        return sure.unionByName(_exact(doubt, sets).where(F.col("similarity") >= least).select("node", "rep"))
     nodes = materialize(doubt.select("node").unionByName(doubt.select(F.col("rep").alias("node"))).distinct())
     sets = materialize(elements(docs, nodes))
     return sure.unionByName(_exact(doubt, sets).where(F.col("similarity") >= least).select("node", "rep"))
 
 
+def _unmet(shared: DataFrame, reps: DataFrame, component: DataFrame) -> DataFrame:
+    """``node, component`` of texts that share a bucket with a text of another component, neither being its representative."""
+    others = shared.join(reps, "bucket").where("node != rep").select("bucket", "node")
+    others = others.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = others.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
+    return others.join(mixed, "bucket", "left_semi").select("node", "component").distinct()
+
+
+def _unit_cells(sets: DataFrame) -> DataFrame:
+    """``node, cell``: a row of each occurrence of an element, so that a text is a plain set of as many cells as runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                piece = batch.slice(at, 256)
+                sizes = pa.compute.list_value_length(piece.column("hashes")).to_numpy()
+                hashes, counts = (piece.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("hashes", "counts"))
+                owner = np.repeat(np.repeat(piece.column("node").to_numpy(), sizes), counts)
+                j = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + 1
+                cell = wordhash.mixed(np.repeat(hashes, counts).astype(np.uint64) + _GOLD * j.astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(cell.view(np.int64))], ["node", "cell"])
+
+    return sets.mapInArrow(run, "node long, cell long")
+
+
+def _candidates(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (node, rep) of ``nodes`` (node, component) from different components: all that may be similar enough.
+
+    Cells are in order of rarity among ``sets``. Alike sets of a <= b cells have o = least / (1 + least) * (a + b) in
+    common at least, so their first common cell has at most a - o cells before it in the one and b - o in the other.
+    """
+    cells = materialize(_unit_cells(sets))
+    often = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    order = F.array_sort(F.collect_list(F.struct("often", "cell")))  # of a text
+    sizes = sets.select("node", F.aggregate("counts", F.lit(0), lambda a, c: a + c).alias("size"))
+    ranked = cells.join(often, "cell").groupBy("node").agg(order.alias("order")).join(sizes, "node").join(nodes, "node")
+    alone = F.col("size") - F.size("order")  # cells of no other text come first
+    most = lambda share: F.floor(F.col("size") * (1 - share) + 1e-6)
+    early = F.slice("order", F.lit(1), F.greatest(F.lit(0), (most(least) + 1 - alone).cast("int")))
+    rows = ranked.select("node", "component", "size", alone.alias("alone"), F.posexplode(early).alias("i", "x"))
+    rows = materialize(rows.select(F.col("x.cell").alias("cell"), "node", "component", "size", (F.col("alone") + F.col("i")).alias("before")))
+    small = rows.where(F.col("before") <= most(2 * least / (1 + least)))
+    small = small.select("cell", *[F.col(c).alias(f"s_{c}") for c in ("node", "component", "size", "before")])
+    bound = least / (1 + least) * (F.col("size") + F.col("s_size")) - 1e-6
+    first = (F.col("s_size") < F.col("size")) | ((F.col("s_size") == F.col("size")) & (F.col("s_node") < F.col("node")))
+    room = F.least(F.col("size") - F.col("before"), F.col("s_size") - F.col("s_before")) >= bound
+    met = rows.join(small, (rows["cell"] == small["cell"]) & (F.col("component") != F.col("s_component")) & first & room)
+    return met.select(F.greatest("node", "s_node").alias("node"), F.least("node", "s_node").alias("rep")).distinct()
+
+
 def links(signed: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Links (node, rep) between different texts whose components are the classes."""
     texts = materialize(signed.where("bands is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     sketches = texts.select("node", "sketch")
     buckets = texts.select("node", F.explode("bands").alias("bucket"))
     shared = materialize(_shared(buckets))
-    pairs = materialize(_star(shared, _popular(shared)))
+    reps = materialize(_popular(shared))
+    pairs = materialize(_star(shared, reps))
     first = materialize(_verified(pairs, sketches, docs, least))
     joined = materialize(connected_components(first, "node", "rep"))
 
@@ -271,8 +326,17 @@ def links(signed: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> Data
     spans = spans.select("bucket", F.col("rep.node").alias("rep"), F.col("rep.component").alias("rep_component"))
     more = parts.join(spans, "bucket").where("component != rep_component")
     more = more.select(F.greatest("node", "rep").alias("node"), F.least("node", "rep").alias("rep")).distinct()
-    more = more.join(pairs.select(F.greatest("node", "rep").alias("node"), F.least("node", "rep").alias("rep")), ["node", "rep"], "left_anti")
-    return first.unionByName(_verified(materialize(more), sketches, docs, least))
+    met = pairs.select(F.greatest("node", "rep").alias("node"), F.least("node", "rep").alias("rep"))
+    more = materialize(more.join(met, ["node", "rep"], "left_anti"))
+    linked = materialize(first.unionByName(_verified(more, sketches, docs, least)))
+
+    joined = connected_components(linked, "node", "rep").select(F.col("vertex").alias("node"), "component")
+    apart = materialize(_unmet(shared, reps, joined))
+    if apart.isEmpty():
+        return linked
+    sets = materialize(elements(docs, apart.select("node")))
+    rest = _candidates(apart, sets, least).join(met.unionByName(more), ["node", "rep"], "left_anti")
+    return linked.unionByName(_verified(materialize(rest), sketches, docs, least, sets))
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

@@ -121,3 +121,19 @@ def test_empty_table(make_docs):
 def test_exact_similarity():
     a, b = np.array([1, 2, 5]), np.array([2, 5, 7])
     assert dm.similarity(a, np.array([1, 2, 1]), b, np.array([1, 3, 1])) == pytest.approx(2 / 7)
+
+
+def test_pairs_within_a_large_family_just_under_the_bound(make_docs):
+    """Texts of one template, all of similarity 0.79 but for a few pairs a little over 0.8: most bands of such a pair are the family's too."""
+    n, template, new = 1000, [f"w{i}" for i in range(504)], (f"t{i}" for i in range(10**6))
+    tail = lambda k: [next(new) for _ in range(k)]
+    texts, planted = [[*template, *tail(66)] for _ in range(n)], {i + 19: i for i in range(20, n, 40)}
+    for j, i in planted.items():
+        shared = tail(4)
+        texts[i], texts[j] = ([*template, *shared, *tail(62)] for _ in range(2))
+    texts = [" ".join(t) for t in texts]
+    sets = [_set(t) for t in texts]
+    assert all(0.8 <= _similar(sets[i], sets[j]) < 0.81 for i, j in planted.items())
+    assert all(0.785 < _similar(sets[7], s) < 0.8 for i, s in enumerate(sets) if i != 7)
+    got = {r["doc_id"]: r["class_id"] for r in dm.classes(make_docs(texts)).collect()}
+    assert got == {i: planted.get(i, i) for i in range(n)}
