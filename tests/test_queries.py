@@ -42,3 +42,19 @@ def test_query_matches_sql(spark, name):
 def test_conjugate_gradients_converge(spark):
     row = catalog.queries()["q28_conjugate_gradients"](spark, SF).first()
     assert row["converged"] and row["iterations"] < 60
+
+
+def test_conjugate_gradients_take_the_whole_table(spark):
+    lines = duckdb.sql(f"select distinct l_partkey, l_suppkey from '{SF}/lineitem.parquet'").fetchall()
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for p, s in lines:
+        parent[find(("p", p))] = find(("s", s))
+    row = catalog.queries()["q28_conjugate_gradients"](spark, SF).first()
+    assert row["converged"]
+    assert (row["vertices"], row["components"]) == (len(parent), sum(find(x) == x for x in list(parent)))
