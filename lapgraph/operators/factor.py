@@ -175,8 +175,17 @@ class Factor:
 
         Absent values are 0. For one system without a name, all vertices are returned; named systems get the blocks
         that their right sides touch, as all others are 0. gauge: ``canonical`` centres floating blocks, ``anchored``
-        pins the last vertex of each block at 0.
+        pins the last vertex of each block at 0. Named systems on blocks eliminated in rounds: see ``solve_named``.
         """
+        if self.large is not None and "system_id" in rhs.columns:
+            raise SolveError("blocks eliminated in rounds take one right side at a time")
+        return self._solve(rhs, gauge)
+
+    def solve_named(self, rhs: DataFrame, gauge: str = "canonical") -> DataFrame:
+        """``solve`` for named systems (system_id, vertex, value), whatever the size of the blocks."""
+        return self._solve(rhs, gauge)
+
+    def _solve(self, rhs: DataFrame, gauge: str) -> DataFrame:
         canonical, n, named = gauge == "canonical", self.original_n, "system_id" in rhs.columns
         outside = rhs.where(~F.col("vertex").between(0, n - 1)).agg(F.max("vertex")).first()[0]
         if outside is not None:
@@ -200,7 +209,7 @@ class Factor:
         if self.large is None:
             return found
         if named:
-            raise SolveError("blocks eliminated in rounds take one right side at a time")
+            return found.unionByName(self.large.solve_named(rhs.select("system_id", F.col("vertex").cast("long").alias("vertex"), F.col("value").cast("double").alias("value")), gauge))
         other = self.large.solve(rhs.select("vertex", "value").join(self.large.graph.vertices.select("vertex"), "vertex", "left_semi"), gauge)
         return found.unionByName(other.select(F.lit(None).cast("string").alias("system_id"), "vertex", "value"))
 
@@ -230,10 +239,12 @@ class Factor:
         out[: self.original_n] = self.solve_array(b, gauge)
 
     def save(self, path: str) -> None:
-        """Write the factor as Parquet tables; one with blocks eliminated in rounds is not written."""
+        """Write the factor as Parquet tables, with the steps and the graph of blocks eliminated in rounds."""
+        large = None
         if self.large is not None:
-            raise FactorError("blocks eliminated in rounds cannot be saved")
-        meta = json.dumps({"format_version": FORMAT_VERSION, "original_n": self.original_n, "config": self.config.to_json()})
+            self.large.save(f"{path}/large")
+            large = {"turns": len(self.large.steps), "grounded": self.large.graph.grounded}
+        meta = json.dumps({"format_version": FORMAT_VERSION, "original_n": self.original_n, "config": self.config.to_json(), "large": large})
         self.blocks.write.mode("overwrite").parquet(f"{path}/blocks")
         self.spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
@@ -243,7 +254,8 @@ def load(spark: SparkSession, path: str) -> Factor:
     meta = json.loads(spark.read.parquet(f"{path}/meta").first()[0])
     if meta["format_version"] != FORMAT_VERSION:
         raise FactorError(f"unsupported factor format version {meta['format_version']} (supported: {FORMAT_VERSION})", found=meta["format_version"], supported=FORMAT_VERSION)
-    factor = Factor(spark.read.schema(SCHEMA).parquet(f"{path}/blocks"), meta["original_n"], Config.from_json(meta["config"]))
+    large = rounds.load(spark, f"{path}/large", meta["large"]["turns"], meta["original_n"], meta["large"]["grounded"]) if meta.get("large") else None
+    factor = Factor(spark.read.schema(SCHEMA).parquet(f"{path}/blocks"), meta["original_n"], Config.from_json(meta["config"]), large)
     check(factor)
     return factor
 
@@ -253,10 +265,16 @@ def check(factor: Factor) -> None:
     fault = faults(factor.blocks).orderBy("block", "kind").first()
     if fault is not None:
         raise FactorError(f"block {fault['block']}: {fault['kind']}", block=fault["block"], kind=fault["kind"])
+    if factor.large is not None and (kind := factor.large.fault()):
+        raise FactorError(f"blocks eliminated in rounds: {kind}", kind=kind)
+    vertices = factor.blocks.select(F.explode("vertices").alias("v"))
     grounded = factor.blocks.where("anchor = 'ground'").count()
+    if factor.large is not None:
+        own = factor.large.graph.vertices.select(F.col("vertex").alias("v"))
+        grounded, vertices = grounded + own.where(F.col("v") == factor.original_n).count(), vertices.unionByName(own)
     if grounded > 1:
         raise FactorError(f"{grounded} ground blocks", grounded=grounded)
-    spread = factor.blocks.select(F.explode("vertices").alias("v")).agg(F.count(F.lit(1)), F.countDistinct("v"), F.max("v"), F.min("v")).first()
+    spread = vertices.agg(F.count(F.lit(1)), F.countDistinct("v"), F.max("v"), F.min("v")).first()
     if spread[0] != spread[1] or spread[0] != factor.original_n + grounded or (spread[0] and (spread[2] != spread[0] - 1 or spread[3] != 0)):
         raise FactorError("vertices are no permutation of the matrix's rows")
 

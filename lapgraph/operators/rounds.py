@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapgraph.operators import vectors
@@ -32,17 +32,65 @@ class RoundFactor:
 
     def solve(self, rhs: DataFrame, gauge: str = "canonical") -> DataFrame:
         """``vertex, value``: the solution for ``rhs`` (vertex, value)."""
-        y = materialize(vectors.prepare(self.graph, rhs).select("vertex", "value"))
+        one = rhs.select("vertex", "value", F.lit(0).alias("system"))
+        return self._solve(one, self.graph.vertices.select("vertex", "block", F.lit(0).alias("system")), gauge).select("vertex", "value")
+
+    def solve_named(self, rhs: DataFrame, gauge: str = "canonical") -> DataFrame:
+        """``system_id, vertex, value``: solutions for ``rhs`` (system_id, vertex, value), in the blocks that each right side touches."""
+        # a key without nulls, for joins
+        own = rhs.select("vertex", "value", F.coalesce(F.concat(F.lit("="), F.col("system_id").cast("string")), F.lit("")).alias("system"))
+        touched = own.join(self.graph.vertices, "vertex").select("block", "system").distinct()
+        places = self.graph.vertices.select("vertex", "block").join(touched, "block").select("vertex", "block", "system")
+        name = F.when(F.col("system") != "", F.expr("substring(system, 2)"))
+        return self._solve(own, places, gauge).select(name.alias("system_id"), "vertex", "value")
+
+    def _solve(self, rhs: DataFrame, places: DataFrame, gauge: str) -> DataFrame:
+        """``system, vertex, value`` for ``rhs`` (vertex, value, system); ``places`` (vertex, block, system): what is asked for."""
+        asked = materialize(vectors.prepare_systems(places, rhs, self.graph.n))
+        y = asked.select("vertex", "system", "value")
         for s in self.steps:
-            sent = s.join(y, "vertex").select(F.col("to").alias("vertex"), (F.col("share") * F.col("value")).alias("value"))
-            y = materialize(y.unionByName(sent).groupBy("vertex").agg(F.sum("value").alias("value")))
-        x = y.select("vertex", F.lit(0.0).alias("value")).where(F.lit(False))
+            sent = s.join(y, "vertex").select(F.col("to").alias("vertex"), "system", (F.col("share") * F.col("value")).alias("value"))
+            y = materialize(y.unionByName(sent).groupBy("vertex", "system").agg(F.sum("value").alias("value")))
+        x = y.where(F.lit(False))
         for s in reversed(self.steps):
-            back = s.join(x.select(F.col("vertex").alias("to"), F.col("value").alias("known")), "to", "left")
-            back = back.groupBy("vertex", "inverse").agg(F.sum(F.col("share") * F.coalesce("known", F.lit(0.0))).alias("back"))
-            own = back.join(y, "vertex").select("vertex", (F.col("value") * F.col("inverse") + F.col("back")).alias("value"))
-            x = materialize(x.unionByName(own))
-        return vectors.recover(self.graph, x, gauge)
+            known = x.select(F.col("vertex").alias("to"), "system", F.col("value").alias("known"))
+            back = s.join(y, "vertex").join(known, ["to", "system"], "left").groupBy("vertex", "system", "inverse", "value")
+            back = back.agg(F.sum(F.col("share") * F.coalesce("known", F.lit(0.0))).alias("back"))
+            x = materialize(x.unionByName(back.select("vertex", "system", (F.col("value") * F.col("inverse") + F.col("back")).alias("value"))))
+        return vectors.recover_systems(asked, x, self.graph.n, gauge)
+
+    def save(self, path: str) -> None:
+        """Write the graph and the steps as Parquet tables."""
+        self.graph.vertices.write.mode("overwrite").parquet(f"{path}/vertices")
+        self.graph.edges.write.mode("overwrite").parquet(f"{path}/edges")
+        for i, s in enumerate(self.steps):
+            s.write.mode("overwrite").parquet(f"{path}/steps-{i}")
+
+    def fault(self) -> str | None:
+        """The first broken rule of the steps."""
+        real = lambda x: ~(F.isnan(x) | (F.abs(x) == float("inf")))
+        steps = self.graph.vertices.sparkSession.createDataFrame([], "vertex long, inverse double, to long, share double, turn int")
+        for i, s in enumerate(self.steps):
+            steps = steps.unionByName(s.select("vertex", "inverse", "to", "share", F.lit(i).alias("turn")))
+        steps = materialize(steps)
+        sound = real(F.col("inverse")) & real(F.col("share")) & F.col("share").between(0, 1)
+        if not steps.where(~F.coalesce(sound, F.lit(False))).isEmpty():
+            return "a value of a step"
+        pivots = steps.select("vertex", "turn").distinct()
+        if not pivots.groupBy("vertex").count().where("count > 1").isEmpty():
+            return "a vertex eliminated twice"
+        blocks = self.graph.vertices.select("vertex", "block")
+        ends = steps.join(blocks, "vertex").join(blocks.toDF("to", "to_block"), "to", "left").join(pivots.toDF("to", "to_turn"), "to", "left")
+        if not ends.where(~F.coalesce(F.col("block") == F.col("to_block"), F.lit(False)) | (F.col("to_turn") <= F.col("turn"))).isEmpty():
+            return "a vertex out of bounds"
+        left = blocks.join(pivots, "vertex", "left").groupBy("block").agg(F.sum(F.col("turn").isNull().cast("int")).alias("left"))
+        return None if left.where("left != 1").isEmpty() else "number of steps"
+
+
+def load(spark: SparkSession, path: str, turns: int, n: int, grounded: bool) -> RoundFactor:
+    """What ``save`` wrote."""
+    graph = Graph(spark.read.parquet(f"{path}/vertices"), spark.read.parquet(f"{path}/edges"), n, grounded)
+    return RoundFactor(graph, [spark.read.parquet(f"{path}/steps-{i}") for i in range(turns)])
 
 
 def _pivots(both: DataFrame, turn: int, cap: int) -> DataFrame:

@@ -31,6 +31,23 @@ def recover(graph: Graph, x: DataFrame, gauge: str = "canonical") -> DataFrame:
     return met.join(ends, "block").where(F.col("vertex") < graph.n).select("vertex", (F.col("value") - shift).alias("value"))
 
 
+def prepare_systems(places: DataFrame, rhs: DataFrame, n: int) -> DataFrame:
+    """``prepare`` for many right sides: ``vertex, block, system, value`` of all ``places`` (vertex, block, system)."""
+    own = rhs.groupBy("vertex", "system").agg(F.sum("value").alias("value"))
+    full = places.join(own, ["vertex", "system"], "left").fillna(0.0, ["value"])
+    sums = full.groupBy("block", "system").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("dim"), F.max("vertex").alias("last"))
+    value = F.when(F.col("last") != n, F.col("value") - F.col("total") / F.col("dim")).when(F.col("vertex") == n, -F.col("total")).otherwise(F.col("value"))
+    return full.join(sums, ["block", "system"]).select("vertex", "block", "system", value.alias("value"))
+
+
+def recover_systems(places: DataFrame, x: DataFrame, n: int, gauge: str = "canonical") -> DataFrame:
+    """``recover`` for many solutions ``x`` (vertex, system, value): ``system, vertex, value`` of ``places`` (vertex, block, system)."""
+    met = places.select("vertex", "block", "system").join(x, ["vertex", "system"], "left").fillna(0.0, ["value"])
+    ends = met.groupBy("block", "system").agg(F.max_by("value", "vertex").alias("pin"), F.avg("value").alias("mean"), F.max("vertex").alias("last"))
+    shift = F.when((F.col("last") == n) | F.lit(gauge != "canonical"), F.col("pin")).otherwise(F.col("mean"))
+    return met.join(ends, ["block", "system"]).where(F.col("vertex") < n).select("system", "vertex", (F.col("value") - shift).alias("value"))
+
+
 def degree_bucket(degree: Column, base: int) -> Column:
     """The bucket of a degree: its own up to base, shared ones beyond, 2 * base the last."""
     return F.when(degree <= base, degree).otherwise(F.least(F.lit(base) + F.floor(degree / base), F.lit(2 * base))).cast("long")

@@ -357,7 +357,7 @@ def q20(spark, d):
 )
 def q21(spark, d):
     rhs = _events(spark, d).select(F.col("event_id").alias("vertex"), F.col("b").alias("value"), F.col("event_type").alias("system_id"))
-    x = factorize(_event_matrix(spark, d), Config(backend=Backend.approximate())).solve(rhs)
+    x = factorize(_event_matrix(spark, d), Config(backend=Backend.approximate())).solve_named(rhs)
     return x.select("system_id", "vertex", _r(F.col("value")).alias("x"))
 
 

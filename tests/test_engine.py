@@ -27,7 +27,7 @@ from lapgraph.model import (
 from lapgraph.operators import ingest as ing
 from lapgraph.operators import kernels, pcg, rounds, sampling, vectors
 from lapgraph.operators.components import connected_components
-from lapgraph.operators.factor import FORMAT_VERSION, factorize, factorize_raw, faults, load
+from lapgraph.operators.factor import check, FORMAT_VERSION, factorize, factorize_raw, faults, load
 from lapgraph.sources import generators
 from lapgraph.sources.matrix import Matrix, from_any, from_csr, from_csr_like, from_edges, from_entries, to_csr
 
@@ -317,3 +317,21 @@ def test_random_graphs_in_both_arms(spark):
             assert x == pytest.approx(want)
         y = factorize(m, APPROX).solve_array(b)
         assert np.isfinite(y).all()
+
+
+def test_large_blocks_take_named_systems_and_are_saved(spark, tmp_path):
+    edges = generators.path(spark, 30).unionByName(generators.path(spark, 5).select((F.col("u") + 30).alias("u"), (F.col("v") + 30).alias("v"), "w"))
+    m = from_edges(edges, 35)
+    f = factorize(m, local=10)
+    rhs = spark.createDataFrame([("a", 1, 1.0), ("a", 31, 2.0), ("b", 29, 3.0), ("c", 32, 1.0), (None, 4, 5.0)], "system_id string, vertex long, value double")
+    table = lambda x: {(r["system_id"], r["vertex"]): r["value"] for r in x.collect()}
+    f.save(f"{tmp_path}/f")
+    g = load(spark, f"{tmp_path}/f")
+    for gauge in ("canonical", "anchored"):
+        want = table(factorize(m).solve_named(rhs, gauge))
+        assert len(want) == 35 + 30 + 5 + 30
+        assert table(f.solve_named(rhs, gauge)) == pytest.approx(want, abs=1e-9)
+        assert table(g.solve_named(rhs, gauge)) == pytest.approx(want, abs=1e-9)
+    g.large.steps.pop()
+    with pytest.raises(FactorError, match="number of steps"):
+        check(g)
