@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,17 +35,27 @@ def fractions(stars: DataFrame) -> DataFrame:
 def expected_clique(stars: DataFrame, most: int = 4096) -> DataFrame:
     """``pivot, lo, hi, weight``: the edges that exact elimination of the pivot would leave, w_i * w_j / W.
 
-    The result has a row per pair; stars of more than ``most`` neighbours are refused.
+    The result has a row per pair. A star of more than ``most`` neighbours is cut in groups, and each pair of groups is
+    joined by itself, so that a task has ``most`` by ``most`` pairs at a time.
     """
-    totals = stars.groupBy("pivot").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("size"))
-    wide = F.raise_error(F.concat(F.lit("a star has more neighbours than "), F.lit(most))).cast("double")
-    totals = totals.withColumn("total", F.when(F.col("size") <= most, F.col("total")).otherwise(wide))
-    a = stars.select("pivot", F.col("neighbor").alias("lo"), F.col("weight").alias("a"))
-    b = stars.select("pivot", F.col("neighbor").alias("hi"), F.col("weight").alias("b"))
-    pairs = a.join(b, "pivot").where("lo < hi").join(totals, "pivot")
+    totals = stars.groupBy("pivot").agg(F.sum("weight").alias("total"), F.ceil(F.count(F.lit(1)) / most).cast("int").alias("groups"))
+    own = stars.join(totals, "pivot").withColumn("group", F.pmod(F.xxhash64("neighbor"), "groups").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("groups") - 1))
+    a = own.select("pivot", F.col("neighbor").alias("lo"), F.col("weight").alias("a"), "total", F.col("group").alias("ga"), every.alias("gb"))
+    b = own.select("pivot", F.col("neighbor").alias("hi"), F.col("weight").alias("b"), F.col("group").alias("gb"), every.alias("ga"))
+    pairs = a.join(b, ["pivot", "ga", "gb"]).where("lo < hi")
     return pairs.select("pivot", "lo", "hi", (F.col("a") * F.col("b") / F.col("total")).alias("weight"))
 
 
+def expected_weight(stars: DataFrame, factor: Column) -> DataFrame:
+    """``w``: the sum over ``expected_clique`` of weight times ``factor`` (of ``lo``), by suffix sums instead of pairs."""
+    merged = stars.groupBy("pivot", F.col("neighbor").alias("lo")).agg(F.sum("weight").alias("weight"))
+    above = Window.partitionBy("pivot").orderBy(F.desc("lo")).rowsBetween(Window.unboundedPreceding, -1)
+    own = merged.withColumn("later", F.coalesce(F.sum("weight").over(above), F.lit(0.0)))
+    totals = stars.groupBy("pivot").agg(F.sum("weight").alias("total"))
+    return own.join(totals, "pivot").agg(F.sum(F.col("weight") * F.col("later") / F.col("total") * factor).alias("w"))
+
+
 def sample_stars(stars: DataFrame, seed: int = 0, k: int = 1) -> DataFrame:
     """``index, lo, hi, weight``: the sampled edges of every star of ``stars`` (index, neighbor, weight).
 
@@ -58,13 +68,15 @@ def sample_stars(stars: DataFrame, seed: int = 0, k: int = 1) -> DataFrame:
     total = F.sum("weight").over(Window.partitionBy("index"))
     own = own.withColumn("total", total).where((F.col("total") > 0) & (F.col("total") < float("inf")) & ~F.isnan("total"))
     along = Window.partitionBy("index").orderBy("weight", "neighbor")
-    later = F.coalesce(F.sum("weight").over(along.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))
+    # suffixes are taken downwards: Spark starts a frame that ends at the last row anew at every row
+    down = Window.partitionBy("index").orderBy(F.desc("weight"), F.desc("neighbor")).rowsBetween(Window.unboundedPreceding, -1)
+    later = F.coalesce(F.sum("weight").over(down), F.lit(0.0))
     own = own.withColumn("i", F.row_number().over(along)).withColumn("later", later)
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "index", "i", "copy"), 11) * F.lit(2.0**-53)
     draws = own.where("later > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(k))))
     # a draw r in (0, later] of entry i goes to the last entry j > i whose suffix sum reaches r
     draws = draws.select("index", F.col("neighbor").alias("a"), (F.col("weight") * (F.col("later") / F.col("total")) / k).alias("fill"), (F.col("later") * (F.lit(1.0) - u)).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("b"))
     marks = own.select("index", F.lit(None).cast("long").alias("a"), F.lit(None).cast("double").alias("fill"), (F.col("later") + F.col("weight")).alias("at"), F.lit(2).alias("kind"), F.col("neighbor").cast("long").alias("b"))
-    ahead = Window.partitionBy("index").orderBy("at", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    met = draws.unionByName(marks).withColumn("to", F.first("b", ignorenulls=True).over(ahead)).where("kind = 1 and fill > 0 and to is not null and to != a")
+    ahead = Window.partitionBy("index").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = draws.unionByName(marks).withColumn("to", F.last("b", ignorenulls=True).over(ahead)).where("kind = 1 and fill > 0 and to is not null and to != a")
     return met.select("index", F.least("a", "to").alias("lo"), F.greatest("a", "to").alias("hi"), F.col("fill").alias("weight"))

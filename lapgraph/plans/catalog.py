@@ -453,7 +453,7 @@ def q29(spark, d):
     stars = _customer_stars(spark, d)
     k = 16
     got = sampling.sample_stars(stars.withColumnRenamed("pivot", "index"), 1, k).agg(F.sum(F.col("weight") * (1 + F.col("lo") % 5)).alias("g"), F.count(F.lit(1)).alias("edges"))
-    want = sampling.expected_clique(stars).agg(F.sum(F.col("weight") * (1 + F.col("lo") % 5)).alias("w"))
+    want = sampling.expected_weight(stars, 1 + F.col("lo") % 5)
     most = stars.groupBy("pivot").count().agg((F.sum(F.col("count") - 1) * k).alias("most"))
     both = got.join(want).join(most)  # single rows
     return both.select((F.abs(F.col("g") / F.col("w") - 1) < 0.05).alias("unbiased"), (F.col("edges") <= F.col("most")).alias("within_budget"))

@@ -335,3 +335,16 @@ def test_large_blocks_take_named_systems_and_are_saved(spark, tmp_path):
     g.large.steps.pop()
     with pytest.raises(FactorError, match="number of steps"):
         check(g)
+
+
+def test_a_star_of_any_width(spark):
+    wide = spark.range(5000).select(F.lit(0).alias("pivot"), F.col("id").alias("neighbor"), F.pow(F.lit(2.0), F.col("id") % 4).alias("weight"))
+    small = spark.range(50).select((1 + F.col("id") % 3).alias("pivot"), F.col("id").alias("neighbor"), (1.0 + F.col("id") % 2).alias("weight"))
+    whole = F.sum(F.col("weight") * (1 + F.col("lo") % 5))
+    for stars in (small, wide.unionByName(small)):
+        got = sampling.expected_clique(stars)
+        pairs, total = got.agg(F.count(F.lit(1)), whole).first()
+        assert pairs == sum(n * (n - 1) // 2 for n in (r["count"] for r in stars.groupBy("pivot").count().collect()))
+        assert sampling.expected_weight(stars, 1 + F.col("lo") % 5).first()[0] == pytest.approx(total, rel=1e-9)
+    table = lambda x: sorted(tuple(r) for r in x.collect())
+    assert table(sampling.expected_clique(small, most=4)) == table(sampling.expected_clique(small))
