@@ -15,8 +15,9 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
+from struct import pack
 
 import numpy as np
 import public_tokenizers
@@ -35,6 +36,7 @@ _SPACE = " \t\n\r"
 _LETTERS = "".join(c for c in map(chr, range(0xC0, 0x250)) if unicodedata.category(c)[0] == "L" and len(c.lower()) == 1)
 #: Characters for which Python's classes and the vocabulary's pattern surely agree and normalisation changes nothing.
 _OTHER = re.compile(f"[^\t\n\r\x20-\x7e{re.escape(_LETTERS)}]|<\\|")
+_FIRST_SPACE = re.compile(f"[{_SPACE}]")
 #: The vocabulary's own pattern for these characters.
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
@@ -81,23 +83,45 @@ class ChunkedEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.words: dict[str, bytes] = {}
+        self.former: dict[str, bytes] = {}
+        self.tokens = [self.library.id_to_token(i) for i in range(self.library.get_vocab_size())]
         self.chunks: dict[bytes, tuple] = {}
         self.encoded_chunks = self.seen_chunks = 0
 
     def plain(self, text: str) -> bytes:
-        """The library's ids; words of common characters are looked up once each."""
+        """The library's ids; what stands between white space, of common characters, is looked up once it is known."""
         if _OTHER.search(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = _WORD.findall(text.lower())
-        new = set(words).difference(self.words)
-        if new:
-            if len(self.words) + len(new) > WORDS_KEPT:
-                self.words.clear()
-                new = set(words)
-            new = list(new)
-            for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.words[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.words.__getitem__, words))
+        pieces = text.lower().split()
+        try:
+            return b"".join(map(self.words.__getitem__, pieces))
+        except KeyError:
+            self._learn(pieces)
+        return b"".join(map(self.words.__getitem__, pieces))
+
+    def learn(self, texts: list[str]) -> None:
+        """Look up what is new in ``texts`` together, which is faster than text by text."""
+        new: set[str] = set()
+        for text in texts:
+            if not _OTHER.search(text):
+                new.update(text.lower().split())
+        self._learn(new)
+
+    def _learn(self, pieces: Iterable[str]) -> None:
+        """Ids of ``pieces``: of those that are several words, by their words. What was not used since the memory was last full is forgotten."""
+        if len(self.words) > WORDS_KEPT:
+            self.words, self.former = {}, self.words
+        new = set(pieces).difference(self.words)
+        known = [p for p in new if p in self.former]
+        self.words.update((p, self.former[p]) for p in known)
+        new.difference_update(known)
+        several = {p: _WORD.findall(p) for p in new if not p.isalpha()}
+        words = list(new.difference(several).union(*several.values()).difference(self.words))
+        for w, e in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            ids = e.ids
+            self.words[w] = pack(f"<{len(ids)}I", *ids)
+        for p, parts in several.items():
+            self.words[p] = b"".join(map(self.words.__getitem__, parts))
 
     def _entry(self, text: str) -> tuple:
         """(head, ids between, tail), or (text, None, "") where no white space parts head and tail.
@@ -105,17 +129,16 @@ class ChunkedEncoder:
         head and tail: what the neighbours may continue, up to white space. They grow until their own encodings are
         found at the ends of the chunk's.
         """
-        ids = self.plain(text)
-        spaces = [m.start() for m in re.finditer(f"[{_SPACE}]", text)]
-        for i in range(len(spaces)):
-            j = len(spaces) - 1 - i
+        ids, i, j = self.plain(text), -1, len(text)
+        while True:
+            found = _FIRST_SPACE.search(text, i + 1)
+            i, j = found.start() if found else len(text), max(text.rfind(c, 0, j) for c in _SPACE)
             if j < i:
-                break
-            head, tail = text[: spaces[i]], text[spaces[j] + 1 :]
+                return text, None, ""
+            head, tail = text[:i], text[j + 1 :]
             a, b = self.plain(head), self.plain(tail)
             if ids.startswith(a) and ids.endswith(b) and len(a) + len(b) <= len(ids):
                 return head, ids[len(a) : len(ids) - len(b)], tail
-        return text, None, ""
 
     def encode(self, text: str) -> bytes:
         data = text.encode()
@@ -142,7 +165,8 @@ class ChunkedEncoder:
         return b"".join(out)
 
     def decode(self, ids: list[bytes]) -> list[str]:
-        return self.library.decode_batch([np.frombuffer(x, "<u4").tolist() for x in ids], skip_special_tokens=False)
+        """The tokens, parted by blanks: the vocabulary names no decoder."""
+        return [" ".join(map(self.tokens.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids]
 
 
 @cache
@@ -160,7 +184,9 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
         encoder = _encoder(path)
         for batch in batches:
             for piece in slices(batch, "text", 2_000_000):
-                ids = [encoder.encode(t or "") for t in piece.column("text").to_pylist()]
+                texts = [t or "" for t in piece.column("text").to_pylist()]
+                encoder.learn(texts)
+                ids = list(map(encoder.encode, texts))
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(ids, pa.binary()), pa.array(encoder.decode(ids), pa.string())], ["doc_id", "ids", "decoded"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
