@@ -62,3 +62,14 @@ def test_documents(spark, make_docs, odd_texts):
 
 def test_empty_table(spark, make_docs):
     assert sharding.shard_documents(make_docs([]), 40).collect() == []
+
+
+def test_a_hot_group_is_made_again_in_spans(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SPAN", 7)
+    rows = spark.range(300).selectExpr("if(id % 3 = 0, null, id) as _n", "'t' as _bucket", "1 as _start", "id % 2 as c0")
+    got = sharding.shard_rows(rows, 4).collect()
+    assert sorted(r["row_number"] for r in got) == list(range(300))
+    assert got[0].asDict().keys() == {"_n", "_bucket", "_start", "c0", "row_number", "shard", "slot"}
+    assert sorted(str((r["_n"], r["c0"])) for r in got) == sorted(str((r["_n"], r["c0"])) for r in rows.collect())
+    monkeypatch.setattr(sharding, "SPAN", 65_536)
+    assert sorted(got, key=str) == sorted(sharding.shard_rows(rows, 4).collect(), key=str)
