@@ -27,6 +27,8 @@ from lapgraph.storage import materialize
 
 #: Labelled rows of each label from which the network is fitted, at most.
 TOXIC_ROWS, CLEAN_ROWS = 2000, 3000
+#: Bytes of their texts in all, at most, half of them for each label; a text of over a 64th of that is not learned from.
+SAMPLE_BYTES = 64_000_000
 WORD_BITS, PREFIX_BITS, PREFIX_BYTES, SIZE, WIDTHS, FILTERS = 15, 13, 4, 12, (1, 2, 3), 16
 #: The score at which a document counts as toxic.
 CUT = 0.7
@@ -198,12 +200,19 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, seed: int = 0) -> Network | None:
-    """A network from TOXIC_ROWS and CLEAN_ROWS labelled documents at most; None unless both labels occur."""
+    """A network from TOXIC_ROWS and CLEAN_ROWS labelled documents at most; None unless both labels occur.
+
+    Of texts that share a doc_id one is taken. Texts of the sample hold SAMPLE_BYTES in all at most.
+    """
     known = training_labels(labels)
     there = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     some = lambda y, n: hashed_sample(known.where(F.col("toxic") == y), n, there.get(y, 0), "doc_id")
-    chosen = some(1, TOXIC_ROWS).unionByName(some(0, CLEAN_ROWS))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toArrow().sort_by("doc_id")  # bounded by the limits
+    chosen = materialize(some(1, TOXIC_ROWS).unionByName(some(0, CLEAN_ROWS)))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by the limits
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    rows = rows.where(size <= SAMPLE_BYTES // 64).groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    along = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_bytes", F.sum(size).over(along)).where(F.col("_bytes") <= SAMPLE_BYTES // 2).drop("_bytes").toArrow().sort_by("doc_id")
     labels_of = rows.column("toxic").to_pylist()
     return fit(rows.column("text").to_pylist(), labels_of, seed=seed) if len(set(labels_of)) == 2 else None
 
@@ -296,13 +305,13 @@ def classify(docs: DataFrame, labels: DataFrame, least: int = 50, seed: int = 0)
 def without_toxic(docs: DataFrame, labels: DataFrame, least: int = 50, seed: int = 0) -> DataFrame:
     """``docs`` without the rows whose score reaches their language's threshold; every column stays as it is.
 
-    Rows are judged one by one, beside their own columns: they need no key, and nothing is shuffled. Without labels
-    of both kinds every row stays.
+    Rows are judged one by one, beside their own columns: they need no key, and no text is shuffled. They are scored once and
+    written with their scores. Null texts count as empty; repeated rows stay or go together; an empty table stays empty.
+    Without labels of both kinds every row stays. Needs the columns doc_id, text and lang.
     """
     net = train(docs, labels, seed)
     if net is None:
         return docs
-    cut, cuts = calibrate(materialize(logits(docs, net)), labels, least)
     name, lang, own = (_fresh(docs, n) for n in ("logit", "threshold_lang", "threshold"))
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -312,7 +321,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, least: int = 50, seed: int
                 found = sent.value.logits(words_of(piece.column("text"))).astype("f8")
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(found)], [*piece.schema.names, name])
 
-    scored = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    scored = materialize(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())])))
+    cut, cuts = calibrate(scored.select("doc_id", "lang", F.col(name).alias("logit")), labels, least)
     cuts = cuts.toDF(lang, own)
     cuts = F.broadcast(cuts) if cuts.count() <= LANGUAGES else cuts  # a row per language with labelled rows
     found = scored.join(cuts, _lang() == F.col(lang), "left")

@@ -59,3 +59,29 @@ def test_boundaries_do_not_lose_ids(spark, tmp_path):
     rows = packing.pack(docs, 128).collect()
     assert sum(r["length"] for r in rows) == sum(len(np.frombuffer(r["ids"], "<u2")) for r in rows)
     assert max(r["sequence_id"] for r in rows) + 1 == len({r["sequence_id"] for r in rows})
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_clashing_columns_long_texts_and_repeats(spark, tmp_path):
+    """No labels, so nothing is toxic; one very long text, rows that repeat, and columns named as the stages' own."""
+    long = " ".join(f"word{i % 977}x{i}" for i in range(60_000))
+    rows = [(1, long, "en", 3, 0), (1, long, "en", 3, 0), (2, long + " end", "en", 3, 0), (None, None, None, None, None), (3, "token=abcdef123 here", "en", 4, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, logit int, n_chars long").withColumnsRenamed({}).selectExpr(
+        "*", "1 as ids", "2 as _base", "3 as _more", "4 as own_node", "5 as threshold", "6 as part"
+    ).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        out.write.parquet(f"{tmp_path}/stage{k}")
+        docs = spark.read.parquet(f"{tmp_path}/stage{k}")
+    kept = {r["doc_id"]: r for r in docs.collect()}
+    assert set(kept) == {1, 3, None} and kept[1]["text"] == long and kept[3]["text"] == "token=[REDACTED] here" and kept[3]["_base"] == 2
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {p["doc_id"] for p in pieces} == {1, 3, None}

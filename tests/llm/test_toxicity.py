@@ -88,3 +88,15 @@ def test_word_hashes():
         assert seen.setdefault(bytes(raw[b:e]), x) == x
     assert len(set(seen.values())) == len(seen) == 9
     assert np.bincount(text, minlength=8).tolist() == [3, 0, 0, 1, 1, 3, 2, 300001]
+
+
+def test_ids_that_repeat_bring_one_text_each_to_the_driver(spark, make_docs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, seed=0: seen.append((texts, labels)))
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 64 * 40)
+    ids = [i for i in range(60) if __import__("zlib").crc32(str(i).encode()) % 3 != 1][:12]
+    docs = make_docs([f"text {i} {k}" for i in ids for k in range(50)] + ["x" * 5000], ids=[i for i in ids for _ in range(50)] + [ids[0]])
+    labels = spark.createDataFrame([(i, 1, j % 2) for j, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    toxicity.train(docs, labels)
+    ((texts, known),) = seen
+    assert len(texts) == len(ids) and sorted(known) == [0] * 6 + [1] * 6 and max(map(len, texts)) < 20
