@@ -7,8 +7,9 @@ with the probability of their weighted Jaccard similarity. Only as much of the p
 coordinates: the work is in proportion to the elements plus k log k.
 
 Bands of coordinates are joined. In each bucket every text meets one representative (the member that shares most buckets),
-so a bucket of any size gives as many pairs as members, and a text meets few representatives. Where the pairs found alike leave a bucket in several components, it is split by pairs of bands, with
-representatives drawn anew in each part, which joins what is dense; pairs within a component need no second look.
+so a bucket of any size gives as many pairs as members, and a text meets few representatives. Where the pairs found alike
+leave a bucket in several components, it is split by pairs of bands, with representatives drawn anew in each part, which
+joins what is dense; pairs within a component need no second look.
 Texts that then still share a bucket with a text of another component that they never met go through an exact join by
 prefixes: of two alike texts, the first common element in order of rarity stands early in both, so that only early
 elements are joined. What a whole family shares stands late, and its members do not meet by it. Pairs are judged
@@ -16,6 +17,10 @@ by their sketches (a byte of each coordinate), and exactly, from all elements, w
 
 A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**6)**32 = 0.99994, at 0.9 with more than 1 - 1e-9;
 a pair that shares a band is in one component, compared, or ruled out by its sizes and the order of its elements.
+
+Scale: texts are read for their sketches, and again for the elements of pairs in doubt; what is shuffled are numbers.
+Copies, buckets, representatives and classes may hold a third of all rows: joins on them deal such keys over many tasks
+(``spread_join``), and everything else about them is aggregated before the shuffle.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapgraph.llm import wordhash
-from lapgraph.llm.texts import slices
+from lapgraph.llm.texts import slices, spread_join
 from lapgraph.operators.components import connected_components
 from lapgraph.storage import materialize
 
@@ -166,7 +171,7 @@ def sign(docs: DataFrame) -> DataFrame:
 def _shared(buckets: DataFrame) -> DataFrame:
     """``bucket, node`` of the rows whose bucket has another member."""
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    return buckets.join(sizes.select("bucket"), "bucket", "left_semi").select("bucket", "node")
+    return spread_join(buckets, materialize(sizes.select("bucket")), "bucket").select("bucket", "node")
 
 
 def _popular(shared: DataFrame) -> DataFrame:
@@ -178,7 +183,7 @@ def _popular(shared: DataFrame) -> DataFrame:
 
 def _star(shared: DataFrame, reps: DataFrame) -> DataFrame:
     """``node, rep`` of all members but the representative."""
-    return shared.join(reps, "bucket").where("node != rep").select("node", "rep").distinct()
+    return spread_join(shared, reps, "bucket").where("node != rep").select("node", "rep").distinct()
 
 
 def _estimate(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -191,7 +196,7 @@ def _estimate(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("rep"), pa.array(share, "float64")], ["node", "rep", "estimate"])
 
     own = lambda node, name: sketches.select(F.col("node").alias(node), F.col("sketch").alias(name))
-    both = pairs.join(own("node", "a"), "node").join(own("rep", "b"), "rep").select("node", "rep", "a", "b")
+    both = spread_join(pairs, own("rep", "b"), "rep").join(own("node", "a"), "node").select("node", "rep", "a", "b")
     return both.mapInArrow(run, "node long, rep long, estimate double")
 
 
@@ -238,7 +243,7 @@ def _exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("rep"), pa.array(found, "float64")], ["node", "rep", "similarity"])
 
     own = lambda node, h, c: sets.select(F.col("node").alias(node), F.col("hashes").alias(h), F.col("counts").alias(c))
-    both = pairs.join(own("node", "h1", "c1"), "node").join(own("rep", "h2", "c2"), "rep")
+    both = spread_join(pairs, own("rep", "h2", "c2"), "rep").join(own("node", "h1", "c1"), "node")
     return both.select("node", "rep", "h1", "c1", "h2", "c2").mapInArrow(run, "node long, rep long, similarity double")
 
 
@@ -256,10 +261,15 @@ def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, least: flo
 
 def _unmet(shared: DataFrame, reps: DataFrame, component: DataFrame) -> DataFrame:
     """``node, component`` of texts that share a bucket with a text of another component, neither being its representative."""
-    others = shared.join(reps, "bucket").where("node != rep").select("bucket", "node")
-    others = others.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = others.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-    return others.join(mixed, "bucket", "left_semi").select("node", "component").distinct()
+    others = spread_join(shared, reps, "bucket").where("node != rep").select("bucket", "node")
+    others = materialize(others.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    return spread_join(others, _mixed(others), "bucket").select("node", "component").distinct()
+
+
+def _mixed(member: DataFrame) -> DataFrame:
+    """``bucket`` of those whose members (bucket, node, component) are of several components."""
+    spans = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return materialize(spans.where("lo != hi").select("bucket"))
 
 
 def _unit_cells(sets: DataFrame) -> DataFrame:
@@ -289,7 +299,7 @@ def _candidates(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     often = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     order = F.array_sort(F.collect_list(F.struct("often", "cell")))  # of a text
     sizes = sets.select("node", F.aggregate("counts", F.lit(0), lambda a, c: a + c).alias("size"))
-    ranked = cells.join(often, "cell").groupBy("node").agg(order.alias("order")).join(sizes, "node").join(nodes, "node")
+    ranked = spread_join(cells, materialize(often), "cell").groupBy("node").agg(order.alias("order")).join(sizes, "node").join(nodes, "node")
     alone = F.col("size") - F.size("order")  # cells of no other text come first
     most = lambda share: F.floor(F.col("size") * (1 - share) + 1e-6)
     early = F.slice("order", F.lit(1), F.greatest(F.lit(0), (most(least) + 1 - alone).cast("int")))
@@ -316,15 +326,15 @@ def links(signed: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> Data
     joined = materialize(connected_components(first, "node", "rep"))
 
     member = shared.join(joined.select(F.col("vertex").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
+    member = materialize(member)
     # texts that share two bands share two mixed buckets, unless they are in one component already
-    own = member.join(mixed, "bucket", "left_semi").groupBy("node", "component").agg(F.array_sort(F.collect_list("bucket")).alias("own"))  # BANDS at most
+    own = spread_join(member, _mixed(member), "bucket").groupBy("node", "component").agg(F.array_sort(F.collect_list("bucket")).alias("own"))  # BANDS at most
     both = F.flatten(F.transform("own", lambda b, i: F.transform(F.slice("own", i + 2, BANDS), lambda c: F.xxhash64(b, c))))
     parts = materialize(own.select("node", "component", F.explode(both).alias("bucket")))
     drawn = F.min_by(F.struct("node", "component"), F.xxhash64("node", "bucket"))
     spans = parts.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), drawn.alias("rep")).where("lo != hi")
-    spans = spans.select("bucket", F.col("rep.node").alias("rep"), F.col("rep.component").alias("rep_component"))
-    more = parts.join(spans, "bucket").where("component != rep_component")
+    spans = materialize(spans.select("bucket", F.col("rep.node").alias("rep"), F.col("rep.component").alias("rep_component")))
+    more = spread_join(parts, spans, "bucket").where("component != rep_component")
     more = more.select(F.greatest("node", "rep").alias("node"), F.least("node", "rep").alias("rep")).distinct()
     met = pairs.select(F.greatest("node", "rep").alias("node"), F.least("node", "rep").alias("rep"))
     more = materialize(more.join(met, ["node", "rep"], "left_anti"))
@@ -340,23 +350,25 @@ def links(signed: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> Data
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """``doc_id, node, class_id, class_size, representative`` of every document.
+    """``doc_id, node, class_id, class_doc_id, class_size, representative`` of every document.
 
-    ``class_id``: the least doc_id among documents of equal or linked texts. ``representative``: whether the row has that
-    id (and the least fingerprint among texts with it). Null texts count as empty, and texts without words are alike only
-    if they are equal. A null doc_id gives way to others. Equal rows get equal results. Other columns are ignored.
+    ``class_id``: the least fingerprint of the class's texts, so that classes are told apart even if doc_ids repeat or are
+    null. ``class_doc_id``: the least doc_id among documents of equal or linked texts; a null one gives way to others.
+    ``representative``: whether the row has that id (and the least fingerprint among texts with it). Null texts count as
+    empty, and texts without words are alike only if they are equal. Equal rows get equal results. Other columns are ignored.
     """
     signed = materialize(sign(docs))
     labels = connected_components(links(signed, docs, least), "node", "rep").select(F.col("vertex").alias("node"), "component")
-    placed = signed.select("doc_id", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = materialize(placed)
+    placed = spread_join(signed.select("doc_id", "node"), labels, "node", "left")
+    placed = materialize(placed.select("doc_id", "node", F.coalesce("component", "node").alias("class_id")))
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("node"))
-    heads = placed.groupBy("component").agg(F.min(first).alias("head"), F.count(F.lit(1)).alias("class_size"))
-    named = placed.join(heads, "component")
+    heads = materialize(placed.groupBy("class_id").agg(F.min(first).alias("head"), F.count(F.lit(1)).alias("class_size")))
+    named = spread_join(placed, heads, "class_id")
     return named.select(
         "doc_id",
         "node",
-        F.col("head.doc_id").alias("class_id"),
+        "class_id",
+        F.col("head.doc_id").alias("class_doc_id"),
         "class_size",
         (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("node") == F.col("head.node"))).alias("representative"),
     )

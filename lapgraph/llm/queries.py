@@ -22,7 +22,7 @@ def op2_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dartminhash.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "representative")
+    return dartminhash.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_doc_id", "class_size", "representative")
 
 
 def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lapgraph.storage import materialize
+
 #: Bytes of text (or one row, if longer) and rows that a slice of a batch holds at most.
 SLICE_BYTES, SLICE_ROWS = 2_000_000, 4096
 
@@ -50,3 +52,27 @@ def hashed_sample(df: DataFrame, n: int, total: int, *key: str | Column) -> Data
     share = (n + 6 * math.sqrt(n) + 10) / max(1, total)
     some = df if share >= 0.9 else df.where(h < F.lit(int(-(2**63) + share * 2**64)).cast("long"))
     return some.orderBy(h, *key).limit(n)
+
+
+#: Share of the rows of ``spread_join``'s left side that one key may bring to one task, and rows below which nothing is split.
+SPREAD_SHARE, SPREAD_LEAST = 100_000, 500
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``left.join(right, key, how)`` (inner or left) for a ``right`` with one row a key, though a third of ``left`` has one key.
+
+    Rows of a key that holds more than 1 / SPREAD_SHARE of ``left`` are dealt over as many copies of its row as it needs.
+    There are fewer than SPREAD_SHARE such keys at any size, so their list is broadcast. ``left`` should be written: it is
+    read twice, and its rows are numbered by their place.
+    """
+    total = left.count()
+    limit = max(SPREAD_LEAST, total // SPREAD_SHARE)
+    sizes = left.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
+    hot = materialize(sizes.select(key, F.ceil(F.col("_rows") / limit).cast("int").alias("_parts")))
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    hot = F.broadcast(hot)  # SPREAD_SHARE rows at most
+    parts = F.coalesce(F.col("_parts"), F.lit(1))
+    dealt = left.join(hot, key, "left").withColumn("_part", F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop("_parts")
+    copies = right.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(copies, [key, "_part"], how).drop("_part")

@@ -65,7 +65,8 @@ def test_classes_match_brute_force(make_docs, odd_texts):
     docs = make_docs(texts, extra=["node", "bands", "class_id", "component", "rep"]).repartition(4)
     got = {r["doc_id"]: r for r in dm.classes(docs).collect()}
     want = _brute(texts)
-    assert [got[i]["class_id"] for i in range(len(texts))] == want
+    assert [got[i]["class_doc_id"] for i in range(len(texts))] == want
+    assert len({(got[i]["class_id"], w) for i, w in enumerate(want)}) == len(set(want)) == len({r["class_id"] for r in got.values()})
     sizes = Counter(want)
     assert all(got[i]["class_size"] == sizes[w] and got[i]["representative"] == (i == w) for i, w in enumerate(want))
 
@@ -88,7 +89,7 @@ def test_a_hot_group_gives_pairs_in_proportion(make_docs):
     buckets = signed.select("node", F.explode("bands").alias("bucket"))
     shared = dm._shared(buckets)
     assert dm._star(shared, dm._popular(shared)).count() < 120 * dm.BANDS
-    assert {r["class_id"] for r in dm.classes(make_docs(texts)).collect()} == {0}
+    assert {r["class_doc_id"] for r in dm.classes(make_docs(texts)).collect()} == {0}
 
 
 def test_agreement_is_the_weighted_similarity():
@@ -135,5 +136,36 @@ def test_pairs_within_a_large_family_just_under_the_bound(make_docs):
     sets = [_set(t) for t in texts]
     assert all(0.8 <= _similar(sets[i], sets[j]) < 0.81 for i, j in planted.items())
     assert all(0.785 < _similar(sets[7], s) < 0.8 for i, s in enumerate(sets) if i != 7)
-    got = {r["doc_id"]: r["class_id"] for r in dm.classes(make_docs(texts)).collect()}
+    got = {r["doc_id"]: r["class_doc_id"] for r in dm.classes(make_docs(texts)).collect()}
     assert got == {i: planted.get(i, i) for i in range(n)}
+
+
+def test_ids_that_repeat_or_are_null_do_not_join_classes(make_docs):
+    texts = [f"text number {i} of several that are quite unlike {i * 7} in all their words {i + 3}" for i in range(5)]
+    rows = dm.classes(make_docs([*texts, texts[4]], ids=[9, 9, None, None, 9, None])).collect()
+    assert len({r["class_id"] for r in rows}) == 5
+    assert sorted(r["class_size"] for r in rows) == [1, 1, 1, 1, 2, 2]
+    assert all(len({r["node"] for r in rows if r["class_id"] == c}) == 1 for c in {r["class_id"] for r in rows})
+    assert [r["class_doc_id"] for r in rows if r["class_size"] == 2] == [9, 9]
+
+
+def test_hot_keys_are_spread(spark):
+    from lapgraph.llm.texts import spread_join
+    from pyspark.sql import functions as F
+
+    from lapgraph.storage import materialize
+
+    left = materialize(spark.range(9000).select(F.when(F.col("id") % 3 == 0, -1).when(F.col("id") % 100 == 1, None).otherwise(F.col("id") % 50).alias("k"), "id"))
+    right = spark.createDataFrame([(-1, "hot"), (1, "one"), (7, "seven"), (60, "none")], "k long, name string")
+    for how in ("inner", "left"):
+        got = spread_join(left, right, "k", how)
+        assert got.columns == ["k", "id", "name"]
+        assert sorted(got.collect(), key=str) == sorted(left.join(right, "k", how).collect(), key=str)
+
+
+def test_very_large_group_of_copies_and_of_near_copies(make_docs):
+    rng = random.Random(3)
+    base = _words(rng, 60)
+    near = [" ".join([*base, f"end{i}"]) for i in range(1500)]
+    rows = dm.classes(make_docs([" ".join(base)] * 1500 + near + ["something else entirely that nobody wrote before"])).collect()
+    assert sorted({(r["class_doc_id"], r["class_size"]) for r in rows}) == [(0, 3000), (3000, 1)]
