@@ -8,8 +8,13 @@ query's substring retrieves every code within radius r; codes in the radius are
 The radius is calibrated on a bounded set of queries held against all rows, so that it grows or shrinks with how
 near the neighbours lie. Queries for which too few rows are found are run again with a radius that holds all.
 
-Scale: every row is indexed, in the task that reads it, in blocks of bounded size; vectors are never shuffled. Queries
-travel to the blocks in groups of bounded size, and each block answers with its few best. Equal vectors of a block
+Substrings have one byte or two, whichever is cheaper at that radius. Of two bytes, an index keeps the rows in order of the
+substring, and all values around the query's are looked up: little is touched where neighbours are near (vectors in
+clusters). At a wide radius (vectors without structure, where neighbours differ in nearly half of all bits) these values
+are too many, and tables of one byte say by bitmaps which rows are around each value; then most rows are probed.
+
+Scale: every row is coded once and written with its code; each task indexes what it reads in blocks of bounded size.
+Vectors are never shuffled. Queries travel to the blocks in groups of bounded size, and each block answers with its few best. Equal vectors of a block
 are one entry with its smallest ids, of which no query can want more, so a vector that a third of all rows share costs
 one comparison a block.
 """
@@ -23,15 +28,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from lapgraph.llm.texts import hashed_sample
 from lapgraph.storage import materialize
 
 SAMPLE = 8192  #: vectors from which the rotations are learned, at most
 CALIBRATION = 128  #: queries by which the radius is chosen, about and at most twice as many
-QUERIES = 32768  #: queries of one group, about
-BLOCK = 16384  #: rows of an index block, at most
-BITS = 8  #: bits of a substring
+QUERIES = 131_072  #: queries of one group, about; each group is a pass over the coded rows
+BLOCK = 65_536  #: rows of an index block, at most
+PAIRS = 1 << 20  #: pairs of a query and a row that are looked at together, about
+BITS = 8  #: bits of a byte of a code
+#: Costs of a candidate, of looking up a value in an index of two bytes, and of a row in the bitmaps of one byte.
+CANDIDATE, LOOKUP, BITMAP = 3.0, 2.0, 0.1
 
 
 @dataclass(frozen=True)
@@ -88,59 +97,126 @@ def probe_radii(radius: int, substrings: int) -> np.ndarray:
     return np.where(np.arange(substrings) <= rest, whole, whole - 1)
 
 
-def distinct(ids: np.ndarray, x: np.ndarray, keep: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Distinct rows of ``x`` and, of each, the ``keep`` smallest ids in order."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], np.ascontiguousarray(x[order])
+def distinct(ids: np.ndarray, x: np.ndarray, keep: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Distinct rows of ``x``; of each, the ``keep`` smallest ids in order, and where in ``x`` it stands."""
+    to = np.argsort(ids, kind="stable")
+    ids, x = ids[to], np.ascontiguousarray(x[to])
     _, first, of = np.unique(x.view([("", x.dtype)] * x.shape[1]).ravel(), return_index=True, return_inverse=True)
     by = np.argsort(of, kind="stable")
     groups = np.split(ids[by], np.flatnonzero(np.diff(of[by])) + 1)
-    return x[first], [np.unique(g)[:keep] for g in groups]
+    return x[first], [np.unique(g)[:keep] for g in groups], to[first]
+
+
+def probed(code: np.ndarray, query_code: np.ndarray, radius: int, width: int) -> np.ndarray:
+    """(queries, rows): whether a row is probed for a query with substrings of ``width`` bytes."""
+    apart = np.bitwise_count(query_code[:, None, :] ^ code[None, :, :])
+    apart = apart.reshape(*apart.shape[:2], -1, width).sum(3)
+    return (apart <= probe_radii(radius, apart.shape[2])).any(2)
+
+
+def values_around(radius: int) -> np.ndarray:
+    """All 16-bit values with ``radius`` bits set at most."""
+    every = np.arange(65536, dtype=np.uint16)
+    return every[np.bitwise_count(every) <= radius]
+
+
+def cheaper_width(code: np.ndarray, query_code: np.ndarray, radius: int, rows: int) -> int:
+    """Bytes of a substring, 1 or 2, with which blocks of ``rows`` rows are searched at less cost; ``code``: of a sample."""
+    share = lambda width: float(np.mean([probed(code, query_code[i : i + 1], radius, width).mean() for i in range(min(64, len(query_code)))]))
+    lookups = sum(len(values_around(int(r))) for r in probe_radii(radius, code.shape[1] // 2) if r >= 0)
+    one = rows * (BITMAP + CANDIDATE * share(1))
+    return 2 if LOOKUP * lookups + rows * CANDIDATE * share(2) < one else 1
+
 
+class Block:
+    """Rows with an index for each substring of their codes."""
 
-def search_block(ids: np.ndarray, x: np.ndarray, codes: Codes, queries: np.ndarray, query_codes: np.ndarray, radius: int, keep: int):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, code: np.ndarray, radius: int, width: int, keep: int):
+        self.rows, self.members, first = distinct(ids, x, keep)
+        self.code, self.width = np.ascontiguousarray(code[first]), width
+        self.least = np.array([m[0] for m in self.members])
+        self.radii = probe_radii(radius, self.code.shape[1] // width)
+        self.live = np.flatnonzero(self.radii >= 0)
+        if width == 2:
+            part = self.code.view(">u2").astype(np.int64)
+            self.order = [np.argsort(part[:, j], kind="stable") for j in self.live]
+            self.starts = [np.searchsorted(part[o, j], np.arange(65537)).astype(np.int32) for j, o in zip(self.live, self.order, strict=True)]
+            self.around = {int(r): values_around(int(r)).astype(np.int64) for r in set(self.radii[self.live].tolist())}
+        else:
+            values = np.arange(256, dtype=np.uint8)
+            self.near = [np.packbits(np.bitwise_count(values[:, None] ^ self.code[None, :, j]) <= self.radii[j], axis=1) for j in self.live]
+
+    def candidates(self, query_code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of every row that is probed."""
+        n = len(self.rows)
+        if self.width == 1:
+            found = np.zeros((len(query_code), self.near[0].shape[1]), np.uint8)
+            for j, table in zip(self.live, self.near, strict=True):
+                found |= table[query_code[:, j]]
+            return np.nonzero(np.unpackbits(found, axis=1, count=n))
+        part = np.ascontiguousarray(query_code).view(">u2").astype(np.int64)
+        keys = []
+        for j, order, starts in zip(self.live, self.order, self.starts, strict=True):
+            value = part[:, j, None] ^ self.around[int(self.radii[j])]
+            lo = starts[value]
+            size = starts[value + 1] - lo
+            q, v = np.nonzero(size)
+            lo, size = lo[q, v].astype(np.int64), size[q, v].astype(np.int64)
+            at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - lo, size)
+            keys.append(np.repeat(q, size) * n + order[at])
+        key = np.unique(np.concatenate(keys))
+        return key // n, key % n
+
+
+def search_block(block: Block, queries: np.ndarray, query_codes: np.ndarray, radius: int, keep: int):
     """For each query the ``keep`` best rows of the block among those within ``radius``: query number, id, score, distance."""
-    rows, members = distinct(ids, x, keep)
-    code = codes.of(rows)
-    least = np.array([m[0] for m in members])
-    radii = probe_radii(radius, code.shape[1])
-    values = np.arange(256, dtype=np.uint8)
-    near = [np.packbits(np.bitwise_count(values[:, None] ^ code[None, :, j]) <= radii[j], axis=1) for j in range(code.shape[1]) if radii[j] >= 0]
-    wide = lambda c: np.ascontiguousarray(c).view(f"V{c.shape[1]}").ravel() if c.shape[1] % 8 else np.ascontiguousarray(c).view("u8")
-    out = []
-    rows8, whole = rows.astype("f8"), code.shape[1] % 8 == 0
-    for start in range(0, len(queries), 64):
-        qc = query_codes[start : start + 64]
-        found = np.zeros((len(qc), near[0].shape[1]), np.uint8)
-        for j, table in enumerate(near):
-            found |= table[qc[:, j]]
-        q, r = np.nonzero(np.unpackbits(found, axis=1, count=len(rows)))
-        a, b = (wide(qc), wide(code)) if whole else (qc, code)
+    whole = block.code.shape[1] % 8 == 0
+    code = block.code.view("u8") if whole else block.code
+    out, rows8 = [], block.rows.astype("f8")
+    step = max(1, PAIRS // max(1, len(block.rows)))
+    for start in range(0, len(queries), step):
+        qc = query_codes[start : start + step]
+        q, r = block.candidates(qc)
+        a = np.ascontiguousarray(qc).view("u8") if whole else qc
         apart = np.zeros(len(q), np.int64)
         for w in range(a.shape[1]):
-            apart += np.bitwise_count(a[q, w] ^ b[r, w])
+            apart += np.bitwise_count(a[q, w] ^ code[r, w])
         inside = apart <= radius
         q, r, apart = q[inside], r[inside], apart[inside]
         score = np.einsum("ij,ij->i", queries[start + q].astype("f8"), rows8[r])
-        order = np.lexsort((least[r], -score, q))
+        order = np.lexsort((block.least[r], -score, q))
         q, r, apart, score = q[order], r[order], apart[order], score[order]
         first = np.searchsorted(q, np.arange(len(qc)))
         top = np.arange(len(q)) - first[q] < keep
         for i, k, d, s in zip(q[top].tolist(), r[top].tolist(), apart[top].tolist(), score[top].tolist(), strict=True):
-            out.extend((start + i, m, s, d) for m in members[k].tolist())
+            out.extend((start + i, m, s, d) for m in block.members[k].tolist())
     return out
 
 
-def _scan(index: DataFrame, codes: Codes, ids: np.ndarray, queries: np.ndarray, radius: int, keep: int) -> DataFrame:
+def code_rows(index: DataFrame, codes: Codes) -> DataFrame:
+    """``index`` (vec_id, v, ...) with ``code``, the packed code of each vector."""
+    sent = index.sparkSession.sparkContext.broadcast(codes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = sent.value.of(_matrix(batch.column("v")))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in found], pa.binary())], [*batch.schema.names, "code"])
+
+    return index.mapInArrow(run, StructType([*index.schema.fields, StructField("code", BinaryType())]))
+
+
+def _scan(index: DataFrame, codes: Codes, ids: np.ndarray, queries: np.ndarray, radius: int, keep: int, width: int = 1) -> DataFrame:
     """The ``keep`` best of all blocks for each query: query_id, rank, vec_id, score, apart."""
     spark = index.sparkSession
-    sent = spark.sparkContext.broadcast((codes, ids, queries, codes.of(queries, True)))  # a group of bounded size
+    sent = spark.sparkContext.broadcast((ids, queries, codes.of(queries, True)))  # a group of bounded size
 
     def answer(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, ids, queries, query_codes = sent.value
+        ids, queries, query_codes = sent.value
         table = pa.Table.from_batches(rows).combine_chunks()
-        x = _matrix(table.column("v").chunk(0))
-        found = search_block(table.column("vec_id").to_numpy(), x, codes, queries, query_codes, radius, keep)
+        code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+        block = Block(table.column("vec_id").to_numpy(), _matrix(table.column("v").chunk(0)), code, radius, width, keep)
+        found = search_block(block, queries, query_codes, radius, keep)
         if found:
             q, m, s, d = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(ids[np.array(q)]), pa.array(m, "int64"), pa.array(s, "float64"), pa.array(d, "int32")], ["query_id", "vec_id", "score", "apart"])
@@ -194,36 +270,38 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, column: str = "emb
     _, sample = _gather(hashed_sample(index, SAMPLE, stats["rows"], "vec_id"))
     codes = learn(sample, stats["norm"], seed=seed)
     bits = codes.planes.shape[1]
+    index = materialize(code_rows(index, codes))
 
     def queries_where(condition: Column) -> tuple[np.ndarray, np.ndarray, dict[int, list[int]]]:
         """Distinct query vectors of one group: the smallest id, the vector, and all ids by the smallest."""
         ids, x = _gather(index.where("_q").where(condition))
         if not len(ids):
             return ids, x, {}
-        own, members = distinct(ids, x, len(ids))
+        own, members, _ = distinct(ids, x, len(ids))
         return np.array([m[0] for m in members]), own, {int(m[0]): m.tolist() for m in members}
 
     dealt = F.xxhash64("vec_id", F.lit(seed + 1))
     share = max(1, stats["queries"] // CALIBRATION)
     ids, x, _ = queries_where(F.pmod(dealt, F.lit(share)) == 0)
-    radius = bits
+    radius, width = bits, 1
     if len(ids):
         near = _scan(index, codes, ids[: 2 * CALIBRATION], x[: 2 * CALIBRATION], bits, k + 1).where("vec_id != query_id")
         apart = np.array([r[0] for r in near.select("apart").collect()])
         radius = int(np.quantile(apart, recall, method="higher")) if len(apart) else bits
+        width = cheaper_width(codes.of(sample), codes.of(x, True), radius, min(BLOCK, stats["rows"]))
     groups, out = -(-stats["queries"] // QUERIES), None
     for g in range(groups):
         ids, x, members = queries_where(F.pmod(dealt, F.lit(groups)) == g)
         if not len(ids):
             continue
-        part = _answers(index, codes, ids, x, members, radius, k)
+        part = _answers(index, codes, ids, x, members, radius, k, width)
         out = part if out is None else out.unionByName(part)
     return empty if out is None else out
 
 
-def _answers(index: DataFrame, codes: Codes, ids: np.ndarray, x: np.ndarray, members: dict[int, list[int]], radius: int, k: int) -> DataFrame:
+def _answers(index: DataFrame, codes: Codes, ids: np.ndarray, x: np.ndarray, members: dict[int, list[int]], radius: int, k: int, width: int) -> DataFrame:
     spark, bits = index.sparkSession, codes.planes.shape[1]
-    best = materialize(_scan(index, codes, ids, x, radius, k + 1))
+    best = materialize(_scan(index, codes, ids, x, radius, k + 1, width))
     if radius < bits:
         full = {r[0] for r in best.groupBy("query_id").count().where(F.col("count") > k).select("query_id").collect()}
         short = np.array([i not in full for i in ids.tolist()])

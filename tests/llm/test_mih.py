@@ -73,3 +73,57 @@ def test_probing_misses_no_code():
         apart = np.bitwise_count(codes[:50, None, :] ^ codes[None, :, :])
         probed = (apart <= radii).any(2)
         assert not ((apart.sum(2) <= radius) & ~probed).any()
+
+
+def _clusters(rng, n, centres, spread, size=64):
+    at = rng.normal(size=(centres, size))
+    return (at[rng.integers(0, centres, n)] + spread * rng.normal(size=(n, size))).astype("f4")
+
+
+def test_clustered_vectors_are_pruned():
+    rng = np.random.default_rng(5)
+    x = _clusters(rng, 12000, 120, 0.3)
+    codes = mih.learn(x[:4096], float(np.linalg.norm(x, axis=1).max()))
+    queries = np.arange(0, len(x), 20)
+    code, query_code = codes.of(x), codes.of(x[queries], True)
+    scores = x[queries].astype("f8") @ x.T.astype("f8")
+    scores[np.arange(len(queries)), queries] = -np.inf
+    top = np.argsort(-scores, axis=1)[:, :20]
+    apart = np.bitwise_count(query_code[:, None, :] ^ code[top]).sum(2)
+    radius = int(np.quantile(apart, 0.97, method="higher"))
+    assert mih.cheaper_width(code[:4096], query_code, radius, len(x)) == 2
+    block = mih.Block(np.arange(len(x)), x, code, radius, 2, 21)
+    q, r = block.candidates(query_code[:200])
+    assert len(q) < 0.15 * 200 * len(x)
+    found = mih.search_block(block, x[queries], query_code, radius, 21)
+    got = {}
+    for i, m, *_ in found:
+        got.setdefault(i, set()).add(m)
+    assert np.mean([len(got.get(i, set()) & set(t.tolist())) / 20 for i, t in enumerate(top)]) >= 0.9
+
+
+@pytest.mark.parametrize("width", [1, 2])
+def test_candidates_are_what_probing_says(width):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(700, 16)).astype("f4")
+    codes = mih.learn(x, float(np.linalg.norm(x, axis=1).max()))
+    code, query_code = codes.of(x), codes.of(x[:30], True)
+    for radius in (0, 1, 4, 7, 20, 32):
+        block = mih.Block(np.arange(700), x, code, radius, width, 5)
+        q, r = block.candidates(query_code)
+        want = mih.probed(block.code, query_code, radius, width)
+        assert sorted(zip(q.tolist(), r.tolist(), strict=True)) == sorted(zip(*map(np.ndarray.tolist, np.nonzero(want)), strict=True))
+        near = np.bitwise_count(query_code[:, None, :] ^ block.code[None]).sum(2) <= radius
+        assert not (near & ~want).any()
+
+
+def test_several_groups_of_queries(table, monkeypatch):
+    monkeypatch.setattr(mih, "QUERIES", 20)
+    rng = np.random.default_rng(7)
+    pairs = list(enumerate(_clusters(rng, 1500, 30, 0.3, 16).tolist()))
+    rows, want = mih.search(table(pairs), F.col("vec_id") % 20 == 0).collect(), _brute(pairs, 20)
+    got = {}
+    for r in rows:
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+    assert sum(len(got[q] & {i for _, i in want[q]}) for q in want) >= 0.9 * 20 * len(want)
