@@ -3,12 +3,14 @@
 Word k-grams of a text and of license templates meet in a Spark join on their hashes; a hit says at which template
 position the text has those words. Hits with one difference between text and template position lie on a diagonal; their
 number votes for it. Diagonals that follow each other closely, as around an inserted or missing word, are merged to a
-span, and a span counts if exact comparison of its words covers enough of the template.
+band; bands with too few votes are left out, and a band is a span if exact comparison of its words covers enough of the
+template. Bands are made twice, of all diagonals and of those that have enough votes by themselves, so that
+neither a part with a single hit nor a chance hit between two parts is in the way.
 
 Scale: texts are read once. A text none of whose hashes is a template's cannot hit (the lossless semi-join part of the
 join) and goes no further than its row of counts; only the words of the others are written, once per distinct text,
 and exploded. Templates are a fixed list, so the join's build side is bounded. Copies share one key, and
-votes are made per distinct text, so a group of copies is one row until the last join, which AQE may split.
+votes are made per distinct text, so a group of copies is one row until the last join, which deals such keys over many tasks.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lapgraph.functions.expressions import let
+from lapgraph.llm.texts import spread_join
 from lapgraph.storage import materialize
 
 #: Fixed value: what a word is, after lower-casing A-Z.
@@ -27,7 +30,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Phrases whose places are always reported.
 PHRASES = {"cc-by": ("cc", "by"), "gpl": ("general", "public", "license"), "reserved": ("all", "rights", "reserved")}
 
-#: Public notices, as (label, text).
+#: Public notices, as (label, text).
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     (
@@ -69,7 +72,7 @@ TEMPLATES = (
 @dataclass(frozen=True)
 class Voting:
     """k: words of a gram. gap: words by which a merged diagonal may be shifted or spaced. coverage: least part of the
-    template's words that a span must hold. votes: least hits of a diagonal of a template of ``long`` words or more."""
+    template's words that a span must hold. votes: least hits of a band of a template of ``long`` words or more."""
 
     k: int = 3
     gap: int = 3
@@ -139,14 +142,20 @@ def scan(docs: DataFrame, templates=TEMPLATES, voting: Voting = Voting()) -> Dat
         F.count(F.lit(1)).alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.min("tpos").alias("t_lo"), F.collect_list("tpos").alias("tpos")
     )  # a diagonal has as many hits as its template has words, at most
     sizes = known.select("template", "label", F.col("words").alias("template_words"))
-    diagonals = diagonals.join(F.broadcast(sizes), "template").where((F.col("votes") >= voting.votes) | (F.size("template_words") < voting.long))
+    diagonals = materialize(diagonals.join(F.broadcast(sizes), "template"))
+    enough = (F.col("votes") >= voting.votes) | (F.size("template_words") < voting.long)
     along = Window.partitionBy("key", "template").orderBy("lo", "diagonal")
     before = lambda c: F.lag(c).over(along)
     follows = (
         (F.abs(F.col("diagonal") - before("diagonal")) <= voting.gap) & (F.col("lo") <= before("hi") + k + voting.gap) & (F.col("t_lo") > before("t_lo"))
     )
-    bands = diagonals.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("band", F.sum("new").over(along))
-    bands = bands.groupBy("key", "template", "label", "template_words", "band").agg(F.collect_list(F.struct("diagonal", "tpos")).alias("parts"))
+
+    def merged(diagonals: DataFrame) -> DataFrame:
+        bands = diagonals.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("band", F.sum("new").over(along))
+        bands = bands.groupBy("key", "template", "label", "template_words", "band")
+        return bands.agg(F.sum("votes").alias("votes"), F.collect_list(F.struct("diagonal", "tpos")).alias("parts")).where(enough)
+
+    bands = merged(diagonals).unionByName(merged(diagonals.where(enough)))
 
     equal = lambda d, t: F.forall(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.get(F.col("words"), d + t + j) == F.get(F.col("template_words"), t + j))
     exact = F.flatten(F.transform("parts", lambda p: F.transform(F.filter(p["tpos"], lambda t: equal(p["diagonal"], t)), lambda t: F.struct(t.alias("t"), (p["diagonal"] + t).alias("pos")))))
@@ -164,7 +173,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, voting: Voting = Voting()) -> Dat
 
     none = F.array().cast("array<struct<label:string,start:int,end:int,coverage:double>>")
     plain = rows.where("key is null").select("doc_id", "n_words", "places", none.alias("spans"))
-    found = rows.where("key is not null").join(spans, "key", "left")
+    found = spread_join(rows.where("key is not null").select("doc_id", "key", "n_words", "places"), materialize(spans), "key", "left")
     return plain.unionByName(found.select("doc_id", "n_words", "places", F.coalesce("spans", none).alias("spans")))
 
 

@@ -61,6 +61,37 @@ def test_insertions_and_deletions_are_merged(run):
     assert got[1]["labels"] == "" and got[1]["score"] == 0 and got[2]["labels"] == ""
 
 
+def test_parts_with_a_single_hit_are_merged(run):
+    """A notice with words put in at three places, so that some parts keep three words in a row only."""
+    label, text = next((k, t) for k, t in licenses.TEMPLATES if k == "mpl-2.0")
+    w = text.split()
+    broken = [*w[:7], "one", *w[7:10], "two", *w[10:13], "three", *w[13:]]
+    got = run([f"lead in {' '.join(broken)} and on", " ".join(w[7:10]) + " alone"])
+    assert label in got[0]["labels"].split(",") and got[1]["labels"] == ""
+
+
+def test_whole_templates_match_direct_search(run):
+    """Every place where all words of a template stand in a row, and nothing in texts that hold no run of three of its words."""
+    rng = random.Random(8)
+    known = [(label, _words(t)) for label, t in licenses.TEMPLATES]
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(4)):
+            parts += [rng.choice(["alpha", "beta", "the", "of", "license"]) for _ in range(rng.randrange(12))]
+            own = list(rng.choice(known)[1])
+            parts += own if rng.random() < 0.7 else own[: rng.randrange(1, 3)]
+        texts.append(" ".join(parts))
+    for i, r in run(texts).items():
+        words = _words(texts[i])
+        for label, t in known:
+            for at in (at for at in range(len(words) - len(t) + 1) if words[at : at + len(t)] == t):
+                assert any(s["label"] == label and s["start"] <= at and s["end"] >= at + len(t) and s["coverage"] >= 0.75 for s in r["spans"]), (i, label, at)
+        grams = {tuple(words[j : j + 3]) for j in range(len(words))}
+        for s in r["spans"]:
+            assert any(label == s["label"] and any(tuple(t[j : j + 3]) in grams for j in range(len(t) - 2)) for label, t in known)
+
+
 def test_copies_and_repeats_agree(run):
     text = "x y. Licensed under CC BY-NC 4.0. Licensed under CC BY-NC 4.0."
     got = run([text] * 50 + [None], ids=[*range(49), None, None])
