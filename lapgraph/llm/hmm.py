@@ -4,9 +4,9 @@ Frequent words are classes of their own; rarer ones share a class by their last
 emits its words by their smoothed counts, with a share for words never seen that singletons suggest (Good and Turing). So
 the model is a hidden Markov model over words whose parameters are bounded in number, at any size of corpus.
 
-Training: words of all training documents are counted; documents are written once as class numbers; Baum-Welch
-starts from a bounded sample and then runs over all of them, each partition giving expected counts that are summed by
-class. Scoring: the scaled forward recursion gives the exact likelihood of the sequence of classes, and a join with
+Training: words of all training documents are counted; documents are written once as class numbers; every round of
+Baum-Welch runs over all of them, each partition giving expected counts that are summed by class. Long texts are learned
+from in stretches that know BURN tokens on either side, so that no text is a long serial task. Scoring: the scaled forward recursion gives the exact likelihood of the sequence of classes, and a join with
 the counts adds that of the rarer words in their classes.
 
 Scale: what grows with the vocabulary (the counts) is joined, never sent whole to one machine. Frequent words, which would
@@ -26,14 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapgraph.llm import wordhash
-from lapgraph.llm.texts import hashed_sample, slices
+from lapgraph.llm.texts import slices
 from lapgraph.storage import materialize
 
 STATES = 8
 HEAD = 16384  #: words with a class of their own, at most
 TAILS = 2048  #: classes of the other words
-#: Documents from which Baum-Welch starts, at most, its rounds on them, and its rounds over all training documents.
-SAMPLE, SAMPLE_ROUNDS, ROUNDS = 1500, 12, 2
+#: Rounds of Baum-Welch over all training documents.
+ROUNDS = 3
+#: Tokens of a stretch of a long text in training, and tokens read on either side of it; tokens worked on at once.
+SEGMENT, BURN, PIECE = 1024, 64, 1_000_000
 SLICE, SLICE_DOCS = 6_000_000, 4096
 SMOOTHING = 20.0  #: tokens of the class frequencies that every state's counts are mixed with
 END = 0  #: the hash that stands for the end of a text
@@ -209,9 +211,10 @@ class Model:
 
     @staticmethod
     def fresh(frequencies: np.ndarray, states: int = STATES, seed: int = 0) -> Model:
+        """States that hardly change within a text at first: so they soon part by language and subject, and few rounds do."""
         rng = np.random.default_rng(seed)
-        emit = frequencies[:, None] * np.exp(0.7 * rng.normal(size=(len(frequencies), states)))
-        move = rng.uniform(0.5, 1.5, (states, states)) + 2 * np.eye(states)
+        emit = frequencies[:, None] * np.exp(rng.normal(size=(len(frequencies), states)))
+        move = rng.uniform(0.5, 1.5, (states, states)) + 30 * states * np.eye(states)
         return Model(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
@@ -237,13 +240,16 @@ class Sequences:
         return np.searchsorted(-self.size, -np.arange(longest), side="left")
 
 
-def forward(model: Model, seqs: Sequences, keep: bool = False):
-    """Natural log likelihood of each sequence (as given); with ``keep`` also the scaled states and scales by token."""
+def forward(model: Model, seqs: Sequences, keep: bool = False, start: np.ndarray | None = None):
+    """Natural log likelihood of each sequence (as given); with ``keep`` also the scaled states and scales by token.
+
+    ``start``: where each sequence (the longest first) starts, if not as the model says.
+    """
     m_of, states = seqs.running(), len(model.start)
     total = np.zeros(len(seqs.size))
     alphas = np.zeros((len(seqs.flat), states)) if keep else None
     scales = np.ones(len(seqs.flat)) if keep else None
-    alpha = np.broadcast_to(model.start, (len(seqs.size), states))
+    alpha = np.broadcast_to(model.start, (len(seqs.size), states)) if start is None else start
     for t, m in enumerate(m_of.tolist()):
         at = seqs.begin[:m] + t
         if t:
@@ -259,25 +265,64 @@ def forward(model: Model, seqs: Sequences, keep: bool = False):
     return (out, alphas, scales) if keep else out
 
 
-def expected(model: Model, seqs: Sequences) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts of the sequences: starts, moves, emissions (class, state), and their log likelihood."""
+@dataclass
+class Stretches:
+    """Parts of sequences: places in ``flat`` from ``begin`` on, ``size`` of them, of which ``own`` follow the first ``lead``."""
+
+    begin: np.ndarray
+    size: np.ndarray
+    lead: np.ndarray
+    own: np.ndarray
+    first: np.ndarray  # whether it is its sequence's first
+
+    @staticmethod
+    def of(seqs: Sequences, segment: int, burn: int) -> Stretches:
+        count = -(-seqs.size // segment)
+        seq = np.repeat(np.arange(len(count)), count)
+        at = (np.arange(len(seq)) - np.repeat(np.cumsum(count) - count, count)) * segment
+        end = np.minimum(at + segment, seqs.size[seq])
+        lo, hi = np.maximum(at - burn, 0), np.minimum(end + burn, seqs.size[seq])
+        return Stretches(seqs.begin[seq] + lo, hi - lo, at - lo, end - at, at == 0)
+
+    def pieces(self, most: int) -> Iterator[Stretches]:
+        """The same, in runs of about ``most`` tokens, the longest first in each."""
+        order = np.argsort(-self.size, kind="stable")
+        cut = np.flatnonzero(np.diff(np.cumsum(self.size[order]) // most)) + 1
+        for some in np.split(order, cut) if len(order) else []:
+            yield Stretches(self.begin[some], self.size[some], self.lead[some], self.own[some], self.first[some])
+
+
+def expected(model: Model, seqs: Sequences, segment: int = SEGMENT, burn: int = BURN) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts of the sequences: starts, moves, emissions (class, state), and their log likelihood.
+
+    Exact for sequences of up to ``segment`` tokens; longer ones are taken in stretches, each with ``burn`` tokens around it
+    that set its states but are not counted again.
+    """
     states, classes = len(model.start), len(model.emit)
-    loglik, alphas, scales = forward(model, seqs, True)
-    m_of = seqs.running().tolist()
-    moves = np.zeros((states, states))
-    beta = np.ones((len(seqs.size), states))
-    ahead = np.zeros((0, states))
-    for t in range(len(m_of) - 1, -1, -1):
-        m, at = m_of[t], seqs.begin[: m_of[t]] + t
-        n = len(ahead)
-        if n:
-            moves += alphas[at[:n]].T @ ahead
-            beta[:n] = ahead @ model.move.T
-        ahead = beta[:m] * model.emit[seqs.flat[at]] / scales[at][:, None]
-        alphas[at] *= beta[:m]
-    first = seqs.begin[seqs.size > 0]
-    emits = np.stack([np.bincount(seqs.flat, alphas[:, s], classes) for s in range(states)], axis=1)
-    return alphas[first].sum(0), moves * model.move, emits, float(loglik.sum())
+    starts, moves, emits, loglik = np.zeros(states), np.zeros((states, states)), np.zeros((classes, states)), 0.0
+    usual = np.linalg.matrix_power(model.move, 256)[0]
+    for part in Stretches.of(seqs, segment, burn).pieces(PIECE):
+        of = np.repeat(np.arange(len(part.size)), part.size)
+        begin = np.cumsum(part.size) - part.size
+        at_own = np.arange(len(of)) - begin[of]
+        own = (at_own >= part.lead[of]) & (at_own < (part.lead + part.own)[of])
+        inner = Sequences(seqs.flat[part.begin[of] + at_own], begin, part.size, np.arange(len(begin)))
+        _, alphas, scales = forward(model, inner, True, np.where(part.first[:, None], model.start, usual))
+        loglik += float(np.log(scales[own]).sum())
+        beta, ahead, own_ahead = np.ones((len(begin), states)), np.zeros((0, states)), np.zeros(0, bool)
+        m_of = inner.running().tolist()
+        for t in range(len(m_of) - 1, -1, -1):
+            m, at = m_of[t], begin[: m_of[t]] + t
+            n = len(ahead)
+            if n:
+                moves += alphas[at[:n]].T @ (ahead * own_ahead[:, None])
+                beta[:n] = ahead @ model.move.T
+            ahead = beta[:m] * model.emit[inner.flat[at]] / scales[at][:, None]
+            own_ahead = own[at]
+            alphas[at] *= beta[:m]
+        starts += alphas[begin[part.first]].sum(0)
+        emits += np.stack([np.bincount(inner.flat[own], alphas[own, s], classes) for s in range(states)], axis=1)
+    return starts, moves * model.move, emits, loglik
 
 
 def maximized(starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, frequencies: np.ndarray, smoothing: float = SMOOTHING) -> Model:
@@ -316,11 +361,7 @@ def fit(encoded: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: int
     """Baum-Welch over the rows of ``encoded`` (written) that are not held out."""
     frequencies = vocab.frequencies()
     model, known = Model.fresh(frequencies, states, seed), encoded.where(~F.col("held_out"))
-    some = hashed_sample(known.select("classes", "doc_id"), SAMPLE, known.count(), "doc_id", "classes").toArrow()
-    sample = Sequences.of(some.column("classes").to_pylist())
-    for _ in range(SAMPLE_ROUNDS if len(sample.size) else 0):
-        model = maximized(*expected(model, sample)[:3], frequencies)
-    for _ in range(rounds if len(sample.size) else 0):
+    for _ in range(rounds if vocab.total else 0):
         model = maximized(*_gathered(known, model), frequencies)
     return model
 

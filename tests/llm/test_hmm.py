@@ -128,3 +128,21 @@ def test_no_training_rows(make_docs):
     r = hmm.score_documents(make_docs(["some words"], ids=[only])).first()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (3, 0, 0, 0.0) and r["score"] < 0
     assert hmm.score_documents(make_docs([])).collect() == []
+
+
+def test_stretches_count_every_token_once():
+    rng = np.random.default_rng(4)
+    model = hmm.Model.fresh(np.full(12, 1 / 12), 3, 1)
+    model.move[:] = [[0.8, 0.1, 0.1], [0.2, 0.6, 0.2], [0.1, 0.2, 0.7]]
+    seqs = hmm.Sequences.of(_as_bytes([rng.integers(0, 12, n).tolist() for n in (700, 3, 0, 50, 51, 1)]))
+    whole, parts = hmm.expected(model, seqs), hmm.expected(model, seqs, 50, 40)
+    assert parts[2].sum() == pytest.approx(len(seqs.flat)) and parts[0].sum() == pytest.approx(5)
+    for a, b in zip(whole, parts, strict=True):
+        assert np.allclose(a, b, atol=1e-3)
+
+
+def test_more_states_tell_more_of_held_out_texts(make_docs):
+    texts = _texts()
+    docs = make_docs(texts)
+    held = [sum(r["score"] for r in hmm.score_documents(docs, states=n).collect() if r["held_out"]) for n in (1, 8)]
+    assert held[1] > held[0] * 0.95  # scores are negative
