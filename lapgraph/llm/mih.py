@@ -37,7 +37,8 @@ SAMPLE = 8192  #: vectors from which the rotations are learned, at most
 CALIBRATION = 128  #: queries by which the radius is chosen, about and at most twice as many
 QUERIES = 131_072  #: queries of one group, about; each group is a pass over the coded rows
 BLOCK = 65_536  #: rows of an index block, at most
-PAIRS = 1 << 20  #: pairs of a query and a row that are looked at together, about
+PAIRS = 1 << 19  #: pairs of a query and a row that are looked at together, about
+SCORES = 1 << 14  #: pairs whose vectors are held side by side
 BITS = 8  #: bits of a byte of a code
 #: Costs of a candidate, of looking up a value in an index of two bytes, and of a row in the bitmaps of one byte.
 CANDIDATE, LOOKUP, BITMAP = 3.0, 2.0, 0.1
@@ -183,7 +184,10 @@ def search_block(block: Block, queries: np.ndarray, query_codes: np.ndarray, rad
             apart += np.bitwise_count(a[q, w] ^ code[r, w])
         inside = apart <= radius
         q, r, apart = q[inside], r[inside], apart[inside]
-        score = np.einsum("ij,ij->i", queries[start + q].astype("f8"), rows8[r])
+        score = np.empty(len(q))
+        for at in range(0, len(q), SCORES):  # pair by pair, so that equal vectors score alike in every block
+            some = slice(at, at + SCORES)
+            score[some] = np.einsum("ij,ij->i", queries[start + q[some]].astype("f8"), rows8[r[some]])
         order = np.lexsort((block.least[r], -score, q))
         q, r, apart, score = q[order], r[order], apart[order], score[order]
         first = np.searchsorted(q, np.arange(len(qc)))
