@@ -5,7 +5,8 @@ partitions' totals give every document its place in the one long row of all ids,
 row. A document that crosses a boundary yields a record for each side. Only the last sequence can be short.
 
 Scale: no row is shuffled. The one table that a single task sees has a row per input partition. Ids are written once in
-two bytes each where the vocabulary allows; a lost executor costs the partitions it was encoding.
+two bytes each (a vocabulary of more than 65,536 raises an error); a lost executor costs the partitions it was encoding.
+Where a document lies follows from how the input is split into partitions: another split packs as tightly, in another order.
 """
 
 from __future__ import annotations

@@ -152,10 +152,17 @@ def with_spans(df: DataFrame, model: MarkovModel, text: str = "text", into: str
     t = F.coalesce(F.col(text), F.lit(""))
     base = [_spans(t, k, i, p, g, GUARDS[k], lambda v, n=least: F.length(v) >= n) for i, (k, (p, g, least)) in enumerate(KINDS.items())]
     more = _spans(t, "markov", len(KINDS), TOKEN, 0, TOKEN, lambda v: ratio(v, model) > model.threshold)
-    added = F.filter("_more", lambda x: ~F.exists("_base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    found = df.withColumn("_base", F.concat(*base)).withColumn("_more", more)
-    found = found.withColumn(into, F.array_sort(F.concat("_base", added)))
-    return found.drop("_base", "_more")
+    first, second = _fresh(df, "base"), _fresh(df, "more")
+    added = F.filter(second, lambda x: ~F.exists(first, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
+    found = df.withColumn(first, F.concat(*base)).withColumn(second, more)
+    found = found.withColumn(into, F.array_sort(F.concat(first, added)))
+    return found.drop(first, second)
+
+
+def _fresh(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name = f"_{name}"
+    return name
 
 
 def _replaced(text: Column, mark: str, pattern: str, group: int, guard: str, keep) -> Column:
