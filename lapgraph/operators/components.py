@@ -1,8 +1,8 @@
 """Connected components by large-star and small-star contraction.
 
 Each round links every vertex to the least one it knows, first among all neighbours, then among the smaller ones. Before
-that, each task joins what its own edges join, so that only edges between pieces are left to the rounds. Rounds
-are logarithmic in the number of vertices on the graphs that occur, long paths included. Only minima are
+that, each task joins what its own edges join, so that only edges between pieces are left to the rounds; if these are
+few (counted, not guessed), one task joins them and no round is needed. Rounds are logarithmic in the number of vertices on the graphs that occur, long paths included. Only minima are
 aggregated (partially before the shuffle), so no neighbourhood meets in one task; joins on a hot vertex can be split by AQE.
 """
 
@@ -15,11 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapgraph.storage import materialize
+from lapgraph.storage import materialize, release
 
-
-#: Edges that a task joins at once.
-CHUNK = 500_000
+#: Edges that a task joins at once, and edges up to which one task joins what is left (16 bytes each).
+CHUNK, FINISH = 500_000, 1_000_000
 
 
 def least_labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,6 +64,19 @@ def _joined_locally(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "u long, v long")
 
 
+def _finished(edges: DataFrame) -> DataFrame:
+    """``vertex, component`` of the vertices of few edges (u, v), joined in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            names, roots = least_labels(*(np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("u", "v")))
+            for at in range(0, len(names), 65_536):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 65_536]) for x in (names, roots)], ["vertex", "component"])
+
+    return edges.coalesce(1).mapInArrow(run, "vertex long, component long")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -78,16 +90,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 64, finish: int = FINISH) -> DataFrame:
     """``vertex, component`` of every vertex that has an edge to another; the component is its least vertex.
 
-    Edges with a null end and loops are ignored, repeated edges count once.
+    Edges with a null end and loops are ignored, repeated edges count once. ``finish``: edges left up to which one task
+    ends the work; the result does not depend on it.
     """
     e = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where("u != v")
     e = materialize(_joined_locally(e).distinct())
+    if e.count() <= finish:
+        return _finished(e)
     state = None
     for _ in range(rounds):
-        e = materialize(_small_star(_large_star(e)))
+        before, e = e, materialize(_small_star(_large_star(e)))
+        release(before)
         row = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if (row[0], row[1]) == state:
             roots = e.select(F.col("v").alias("vertex")).distinct()

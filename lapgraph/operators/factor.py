@@ -30,6 +30,9 @@ SCHEMA = f"block long, dim long, anchor string, arm string, vertices array<long>
 MOST_SCALARS = 200_000_000
 #: Vertices up to which a block is factored in one task.
 LOCAL = 2_000_000
+#: Vertices and rows of a piece of a batch that is worked on at once, scalars of matrices stacked at once, and systems
+#: whose right sides meet a block at once.
+SLICE, SLICE_ROWS, STACK, SYSTEMS = 500_000, 2048, 16_000_000, 32
 
 
 def _gathered(graph: Graph) -> DataFrame:
@@ -41,47 +44,88 @@ def _gathered(graph: Graph) -> DataFrame:
     return both.select("block", F.transform("vs", lambda x: x["vertex"]).alias("vertices"), part("vs", "diagonal"), part("es", "u"), part("es", "v"), part("es", "w"))
 
 
-def _factor_rows(rows: list[dict], config: Config, n: int) -> list[dict]:
+def _lists(column: pa.ListArray):
+    """The values of a row of a list column, by row, without Python objects."""
+    offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return lambda i: flat[offsets[i] : offsets[i + 1]]
+
+
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """``batch`` in pieces that hold about SLICE values of a list column, and SLICE_ROWS rows at most."""
+    total = np.cumsum(np.diff(batch.column(column).offsets.to_numpy()))
+    piece = np.maximum(total // SLICE, np.arange(len(total)) // SLICE_ROWS)
+    cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(total)]
+    yield from (batch.slice(x, y - x) for x, y in zip(cuts, cuts[1:], strict=False) if y > x)
+
+
+def _stacks(rows: list, scalars: int) -> Iterator[list]:
+    """``rows`` in runs that may be stacked: STACK scalars in all at most, or one row."""
+    size = max(1, STACK // max(1, scalars))
+    yield from (rows[i : i + size] for i in range(0, len(rows), size))
+
+
+def _factor_rows(batch: pa.RecordBatch, config: Config, n: int) -> pa.RecordBatch:
+    names, get = batch.column("block").to_pylist(), {c: _lists(batch.column(c)) for c in ("vertices", "diagonal", "u", "v", "w")}
     out, exact = [], {}
-    for r in rows:
-        vertices = np.array(r["vertices"], np.int64)
+    for i, block in enumerate(names):
+        vertices = get["vertices"](i)
         dim, solved = len(vertices), len(vertices) - 1
-        anchor = "ground" if vertices[-1] == n else "floating"
-        local = lambda xs, at=vertices: np.searchsorted(at, np.array(xs or [], np.int64))
-        block = (np.array(r["diagonal"], float), local(r["u"]), local(r["v"]), np.array(r["w"] or [], float))
-        row = {"block": r["block"], "dim": dim, "anchor": anchor, "vertices": vertices, "graph": block, "fallback": None, "fallback_vertex": None, "failure": None, "lower": None, "steps": None, "uneliminated": None, "arm": "approximate"}
+        graph = (get["diagonal"](i), np.searchsorted(vertices, get["u"](i)), np.searchsorted(vertices, get["v"](i)), get["w"](i))
+        row = {"block": block, "dim": dim, "anchor": "ground" if vertices[-1] == n else "floating", "vertices": vertices, "graph": graph, "arm": "approximate"}
         out.append(row)
         if config.backend.routes_exact(solved):
             if solved * (solved + 1) // 2 > MOST_SCALARS:
-                row["fallback"], row["failure"] = "will_not_fit", None
+                row["fallback"] = "will_not_fit"
             else:
                 exact.setdefault(solved, []).append(row)
-    for same in exact.values():
-        low, failed, infinite = kernels.cholesky(np.stack([kernels.dense(*r["graph"]) for r in same]))
-        for r, own, at, inf in zip(same, low, failed.tolist(), infinite.tolist(), strict=True):
-            if at < 0:
-                r["arm"], r["lower"] = "exact", kernels.pack(own)
-            else:
-                kind = kernels.failure_kind(inf)
-                r["fallback"], r["fallback_vertex"], r["failure"] = "invalid_pivot", int(r["vertices"][at]), kind.value
+    for solved, rows in exact.items():
+        for same in _stacks(rows, solved * solved):
+            low, failed, infinite = kernels.cholesky(np.stack([kernels.dense(*r["graph"]) for r in same]))
+            for r, own, at, inf in zip(same, low, failed.tolist(), infinite.tolist(), strict=True):
+                if at < 0:
+                    r["arm"], r["lower"] = "exact", kernels.pack(own)
+                else:
+                    r["fallback"], r["fallback_vertex"], r["failure"] = "invalid_pivot", int(r["vertices"][at]), kernels.failure_kind(inf).value
     for r in out:
         if r["arm"] == "approximate":
-            s = kernels.eliminate(*r["graph"], config.seed, int(r["vertices"][0]), config.copies)
-            at, names, r["steps"] = 0, r["vertices"].tolist(), []
-            for p, inv, end in zip(s.pivots, s.inverse, s.ends, strict=True):
-                r["steps"].append({"vertex": names[p], "inverse": inv, "to": [names[t] for t in s.to[at:end]], "share": s.share[at:end]})
-                at = end
-            r["uneliminated"] = names[s.uneliminated]
-    return out
+            r["steps"] = kernels.eliminate(*r["graph"], config.seed, int(r["vertices"][0]), config.copies)
+            r["uneliminated"] = int(r["vertices"][r["steps"].uneliminated])
+    return _as_batch(out)
+
+
+def _offsets(sizes: list[int]) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
 
 
 def _as_batch(rows: list[dict]) -> pa.RecordBatch:
-    step = pa.struct([("vertex", pa.int64()), ("inverse", pa.float64()), ("to", pa.list_(pa.int64())), ("share", pa.list_(pa.float64()))])
-    kinds = {
-        "block": pa.int64(), "dim": pa.int64(), "anchor": pa.string(), "arm": pa.string(), "vertices": pa.list_(pa.int64()), "lower": pa.list_(pa.float64()),
-        "steps": pa.list_(step), "uneliminated": pa.int64(), "fallback": pa.string(), "fallback_vertex": pa.int64(), "failure": pa.string(),
+    def joined(parts: list, kind: str) -> np.ndarray:
+        return np.concatenate([np.zeros(0, kind), *(np.asarray(x, kind) for x in parts)])
+
+    def listed(parts: list, values: pa.Array, sizes: list[int]) -> pa.Array:
+        return pa.ListArray.from_arrays(_offsets(sizes), values, mask=pa.array([x is None for x in parts]))
+
+    lower, steps = ([r.get(c) for r in rows] for c in ("lower", "steps"))
+    made = [(s, r["vertices"]) for s, r in zip(steps, rows, strict=True) if s is not None]
+    inner = _offsets(joined([np.diff(s.ends, prepend=0) for s, _ in made], "i4"))
+    step = pa.StructArray.from_arrays(
+        [
+            pa.array(joined([at[np.asarray(s.pivots, "i8")] for s, at in made], "i8")),
+            pa.array(joined([s.inverse for s, _ in made], "f8")),
+            pa.ListArray.from_arrays(inner, pa.array(joined([at[np.asarray(s.to, "i8")] for s, at in made], "i8"))),
+            pa.ListArray.from_arrays(inner, pa.array(joined([s.share for s, _ in made], "f8"))),
+        ],
+        ["vertex", "inverse", "to", "share"],
+    )
+    plain = lambda c, kind: pa.array([r.get(c) for r in rows], kind)
+    columns = {
+        "block": plain("block", pa.int64()), "dim": plain("dim", pa.int64()), "anchor": plain("anchor", pa.string()), "arm": plain("arm", pa.string()),
+        "vertices": pa.ListArray.from_arrays(_offsets([r["dim"] for r in rows]), pa.array(joined([r["vertices"] for r in rows], "i8"))),
+        "lower": listed(lower, pa.array(joined([x for x in lower if x is not None], "f8")), [0 if x is None else len(x) for x in lower]),
+        "steps": listed(steps, step, [0 if s is None else len(s.pivots) for s in steps]),
+        "uneliminated": plain("uneliminated", pa.int64()), "fallback": plain("fallback", pa.string()),
+        "fallback_vertex": plain("fallback_vertex", pa.int64()), "failure": plain("failure", pa.string()),
     }
-    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in kinds.items()], list(kinds))
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 def factor_blocks(graph: Graph, config: Config) -> DataFrame:
@@ -90,42 +134,46 @@ def factor_blocks(graph: Graph, config: Config) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                yield _as_batch(_factor_rows(batch.slice(at, 2048).to_pylist(), config, n))
+            for piece in _slices(batch, "vertices"):
+                yield _factor_rows(piece, config, n)
 
     return _gathered(graph).mapInArrow(run, SCHEMA)
 
 
-def _solve_rows(rows: list[dict], canonical: bool) -> Iterator[tuple[str | None, np.ndarray, np.ndarray]]:
+def _solve_rows(batch: pa.RecordBatch, canonical: bool) -> Iterator[tuple[str | None, np.ndarray, np.ndarray]]:
     """(system, vertices, values) of each block and system."""
-    exact = {}
-    for r in rows:
-        vertices, systems, columns = np.array(r["vertices"], np.int64), [], {}
-        for b in r["rhs"] or []:
-            if b["system"] not in columns:
-                columns[b["system"]] = len(systems)
-                systems.append(b["system"])
-        y = np.zeros((len(vertices), max(1, len(systems))))
-        if r["rhs"]:
-            at = np.searchsorted(vertices, [b["vertex"] for b in r["rhs"]])
-            np.add.at(y, (at, [columns[b["system"]] for b in r["rhs"]]), [b["value"] for b in r["rhs"]])
-        grounded = r["anchor"] == "ground"
+    anchor, arm, left = (batch.column(c).to_pylist() for c in ("anchor", "arm", "uneliminated"))
+    vertices_of, lower_of = _lists(batch.column("vertices")), _lists(batch.column("lower"))
+    span, step = batch.column("steps").offsets.to_numpy(), batch.column("steps").values
+    pivot, inverse = (step.field(c).to_numpy(zero_copy_only=False) for c in ("vertex", "inverse"))
+    ends, to, share = step.field("to").offsets.to_numpy(), step.field("to").values.to_numpy(), step.field("share").values.to_numpy()
+    asked, right = batch.column("rhs").offsets.to_numpy(), batch.column("rhs").values
+    system, at_vertex, value = (right.field(c).to_numpy(zero_copy_only=False) for c in ("system", "vertex", "value"))
+    exact: dict[tuple, list] = {}
+    for i in range(batch.num_rows):
+        vertices, own = vertices_of(i), slice(asked[i], asked[i + 1])
+        systems, column = [None], np.zeros(own.stop - own.start, np.int64)
+        if len(column) and any(x is not None for x in system[own]):
+            systems = list(dict.fromkeys(system[own].tolist()))
+            number = {x: k for k, x in enumerate(systems)}
+            column = np.array([number[x] for x in system[own]])
+        y = np.zeros((len(vertices), len(systems)))
+        np.add.at(y, (np.searchsorted(vertices, at_vertex[own]), column), value[own])
+        grounded = anchor[i] == "ground"
         y = kernels.prepared(y, grounded)
-        if r["arm"] == "exact":
-            exact.setdefault((len(vertices), y.shape[1]), []).append((r, vertices, systems or [None], y, grounded))
+        if arm[i] == "exact":
+            exact.setdefault((len(vertices), y.shape[1]), []).append((i, vertices, systems, y, grounded))
             continue
-        local = {x: i for i, x in enumerate(r["vertices"])}
-        ends = np.cumsum([len(s["to"]) for s in r["steps"]]).astype(np.int64)
-        flat = lambda c: [x for s in r["steps"] for x in s[c]]
-        x = kernels.approximate_solve(
-            np.array([local[s["vertex"]] for s in r["steps"]], np.int64), np.array([s["inverse"] for s in r["steps"]]), ends,
-            np.array([local[t] for t in flat("to")], np.int64), np.array(flat("share")), local[r["uneliminated"]], y,
-        )
-        yield from _named(systems or [None], vertices, kernels.recovered(x, grounded, canonical))
-    for (dim, _), same in exact.items():
-        low = np.stack([kernels.unpack(np.array(r["lower"]), dim - 1) for r, *_ in same])
-        for (_, vertices, systems, _, grounded), x in zip(same, kernels.exact_solve(low, np.stack([y for *_, y, _ in same])), strict=True):
-            yield from _named(systems, vertices, kernels.recovered(x, grounded, canonical))
+        a, b = span[i], span[i + 1]
+        lo, hi = ends[a], ends[b]
+        find = lambda names, among=vertices: np.searchsorted(among, names)
+        x = kernels.approximate_solve(find(pivot[a:b]), inverse[a:b], (ends[a + 1 : b + 1] - lo).astype(np.int64), find(to[lo:hi]), share[lo:hi], int(find(left[i])), y)
+        yield from _named(systems, vertices, kernels.recovered(x, grounded, canonical))
+    for (dim, width), rows in exact.items():
+        for same in _stacks(rows, dim * (dim + width)):
+            low = np.stack([kernels.unpack(lower_of(i), dim - 1) for i, *_ in same])
+            for (_, vertices, systems, _, grounded), x in zip(same, kernels.exact_solve(low, np.stack([y for *_, y, _ in same])), strict=True):
+                yield from _named(systems, vertices, kernels.recovered(x, grounded, canonical))
 
 
 def _named(systems: list, vertices: np.ndarray, x: np.ndarray):
@@ -175,33 +223,29 @@ class Factor:
 
         Absent values are 0. For one system without a name, all vertices are returned; named systems get the blocks
         that their right sides touch, as all others are 0. gauge: ``canonical`` centres floating blocks, ``anchored``
-        pins the last vertex of each block at 0. Named systems on blocks eliminated in rounds: see ``solve_named``.
+        pins the last vertex of each block at 0.
         """
-        if self.large is not None and "system_id" in rhs.columns:
-            raise SolveError("blocks eliminated in rounds take one right side at a time")
-        return self._solve(rhs, gauge)
-
-    def solve_named(self, rhs: DataFrame, gauge: str = "canonical") -> DataFrame:
-        """``solve`` for named systems (system_id, vertex, value), whatever the size of the blocks."""
-        return self._solve(rhs, gauge)
-
-    def _solve(self, rhs: DataFrame, gauge: str) -> DataFrame:
         canonical, n, named = gauge == "canonical", self.original_n, "system_id" in rhs.columns
-        outside = rhs.where(~F.col("vertex").between(0, n - 1)).agg(F.max("vertex")).first()[0]
-        if outside is not None:
-            raise SolveError(f"rhs length {outside + 1} exceeds original matrix dimension {n}", rhs_len=outside + 1, factor_dim=n)
         system = F.col("system_id").cast("string") if named else F.lit(None).cast("string")
-        place = self.blocks.select("block", F.explode("vertices").alias("vertex"))
         own = rhs.select(F.col("vertex").cast("long").alias("vertex"), F.col("value").cast("double").alias("value"), system.alias("system"))
-        own = own.join(place, "vertex").groupBy("block").agg(F.collect_list(F.struct("system", "vertex", "value")).alias("rhs"))
-        work = self.blocks.select("block", "anchor", "arm", "vertices", "lower", "steps", "uneliminated").join(own, "block", "inner" if named else "left")
+        outside = F.max(F.when(~F.col("vertex").between(0, n - 1), F.col("vertex")))
+        found = own.agg(outside.alias("outside"), F.approx_count_distinct("system").alias("systems")).first()
+        if found["outside"] is not None:
+            beyond = found["outside"]
+            raise SolveError(f"rhs length {beyond + 1} exceeds original matrix dimension {n}", rhs_len=beyond + 1, factor_dim=n)
+        # a block meets the right sides of about SYSTEMS systems in one row
+        lots = -(-found["systems"] // SYSTEMS)
+        lot = F.pmod(F.xxhash64("system"), F.lit(lots)) if lots > 1 else F.lit(0).cast("long")
+        place = self.blocks.select("block", F.explode("vertices").alias("vertex"))
+        met = own.join(place, "vertex").groupBy("block", lot.alias("lot")).agg(F.collect_list(F.struct("system", "vertex", "value")).alias("rhs")).drop("lot")
+        work = self.blocks.select("block", "anchor", "arm", "vertices", "lower", "steps", "uneliminated").join(met, "block", "inner" if named else "left")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    found = list(_solve_rows(batch.slice(at, 1024).to_pylist(), canonical))
+                for piece in _slices(batch, "vertices"):
+                    found = list(_solve_rows(piece, canonical))
                     if found:
-                        names = pa.array(np.repeat(np.arange(len(found)), [len(v) for _, v, _ in found])) if found else None
+                        names = pa.array(np.repeat(np.arange(len(found)), [len(v) for _, v, _ in found]))
                         systems = pa.array([s for s, _, _ in found], pa.string()).take(names)
                         yield pa.RecordBatch.from_arrays([systems, pa.array(np.concatenate([v for _, v, _ in found])), pa.array(np.concatenate([x for *_, x in found]))], ["system_id", "vertex", "value"])
 
@@ -209,10 +253,12 @@ class Factor:
         if self.large is None:
             return found
         if named:
-            return found.unionByName(self.large.solve_named(rhs.select("system_id", F.col("vertex").cast("long").alias("vertex"), F.col("value").cast("double").alias("value")), gauge))
-        other = self.large.solve(rhs.select("vertex", "value").join(self.large.graph.vertices.select("vertex"), "vertex", "left_semi"), gauge)
+            return found.unionByName(self.large.solve_named(own.withColumnRenamed("system", "system_id"), gauge))
+        other = self.large.solve(own.select("vertex", "value").join(self.large.graph.vertices.select("vertex"), "vertex", "left_semi"), gauge)
         return found.unionByName(other.select(F.lit(None).cast("string").alias("system_id"), "vertex", "value"))
 
+    solve_named = solve
+
     def solve_array(self, b, gauge: str = "canonical") -> np.ndarray:
         """The solution for an array of up to ``original_n`` values, on the driver."""
         b = np.asarray(b, np.float64)

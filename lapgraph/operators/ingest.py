@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lapgraph.model import EPS, Asymmetric, NonFiniteRow, NonFiniteValue, NotDiagonallyDominant, PositiveOffDiagonal
 from lapgraph.operators.components import connected_components
 from lapgraph.sources.matrix import Matrix
-from lapgraph.storage import materialize
+from lapgraph.storage import materialize, release
 
 
 def finite(x: Column) -> Column:
@@ -32,9 +32,9 @@ def is_canonical(entries: DataFrame) -> bool:
 
 
 def coalesce(matrix: Matrix) -> DataFrame:
-    """``row, col, value, pos``: duplicates summed; pos is the first."""
+    """``row, col, value, pos, stored``: duplicates summed; pos is the first, stored how many."""
     total = ordered_sum(F.col("pos"), F.col("value")) if matrix.ordered else F.sum("value")
-    return matrix.entries.groupBy("row", "col").agg(total.alias("value"), F.min("pos").alias("pos"))
+    return matrix.entries.groupBy("row", "col").agg(total.alias("value"), F.min("pos").alias("pos"), F.count(F.lit(1)).alias("stored"))
 
 
 def mirrors(cells: DataFrame) -> DataFrame:
@@ -78,6 +78,10 @@ def balances(cells: DataFrame, terms: DataFrame, ordered: bool = True) -> DataFr
     return rows.select("row", "diagonal", "excess", "class", F.when(F.col("class") == "surplus", F.col("excess")).otherwise(0.0).alias("surplus"))
 
 
+#: Ranges of blocks in which their places are summed.
+RANGES = 4096
+
+
 @dataclass(frozen=True)
 class Graph:
     """``vertices`` (vertex, diagonal, block), ``edges`` (u, v, w, block) with u < v; a block is named by its least vertex.
@@ -95,9 +99,13 @@ class Graph:
         from pyspark.sql import Window
 
         local = F.row_number().over(Window.partitionBy("block").orderBy("vertex")) - 1
-        sizes = self.vertices.groupBy("block").count()
-        before = F.sum("count").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")
-        starts = sizes.select("block", before.alias("start"))
+        sizes = materialize(self.vertices.groupBy("block").count().withColumn("range", F.floor(F.col("block") * F.lit(RANGES) / F.lit(self.n + 1)).cast("int")))
+        totals = sizes.groupBy("range").agg(F.sum("count").alias("total"))
+        upto = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)  # RANGES rows at most
+        offsets = totals.select("range", (F.sum("total").over(upto) - F.col("total")).alias("offset"))
+        within = Window.partitionBy("range").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+        placed = sizes.withColumn("before", F.sum("count").over(within) - F.col("count")).join(F.broadcast(offsets), "range")
+        starts = placed.select("block", (F.col("offset") + F.col("before")).alias("start"))
         return self.vertices.select("vertex", "block", local.alias("local")).join(starts, "block").select("vertex", "block", "local", (F.col("start") + F.col("local")).alias("position"))
 
     def blocks(self) -> DataFrame:
@@ -141,12 +149,12 @@ def ingest(matrix: Matrix, checked: bool = True) -> Graph:
     """The validated graph of ``matrix``; ``checked=False`` trusts it to be symmetric, finite and dominant."""
     n = matrix.n
     cells = materialize(coalesce(matrix))
-    pairs = mirrors(cells)
-    terms = matrix.vertices.withColumnRenamed("vertex", "row").join(matrix.entries.groupBy("row").agg(F.count(F.lit(1)).alias("terms")), "row", "left").fillna(0, ["terms"])
+    pairs = materialize(mirrors(cells))
+    stored = cells.groupBy("row").agg(F.sum("stored").alias("terms"))
+    terms = matrix.vertices.withColumnRenamed("vertex", "row").join(stored, "row", "left").fillna(0, ["terms"])
     balance = materialize(balances(cells, terms, matrix.ordered))
     if checked:
-        infinite = not cells.where(~finite(F.col("value"))).isEmpty()
-        if infinite:
+        if not cells.where(~finite(F.col("value"))).isEmpty():
             if not is_canonical(matrix.entries):
                 _raise_non_finite(matrix)
                 over = cells.where(~finite(F.col("value"))).agg(F.min("row")).first()[0]
@@ -157,17 +165,19 @@ def ingest(matrix: Matrix, checked: bool = True) -> Graph:
                 raise NonFiniteValue(diagonal)
             if bad.isEmpty():
                 _raise_non_finite(matrix)
-        bad = materialize(violations(pairs))
-        _raise_first(bad, pairs, cells)
+        bad = violations(pairs)
+        if not bad.isEmpty():
+            _raise_first(materialize(bad), pairs, cells)
         worst = balance.where("class in ('non_finite', 'deficit')").agg(F.min(F.struct("row", "class"))).first()[0]
         if worst is not None:
             raise (NonFiniteRow if worst["class"] == "non_finite" else NotDiagonallyDominant)(worst["row"])
     to_ground, ground_row = ground(balance, n)
     edges = pairs.where("upper != 0").select(F.col("row").alias("u"), F.col("col").alias("v"), (-F.col("upper")).alias("w")).unionByName(to_ground)
-    edges = materialize(edges)
+    loose = materialize(edges)
     vertices = balance.select(F.col("row").alias("vertex"), "diagonal").unionByName(ground_row)
-    labels = connected_components(edges).toDF("vertex", "block")
+    labels = connected_components(loose).toDF("vertex", "block")
     vertices = materialize(vertices.join(labels, "vertex", "left").withColumn("block", F.coalesce("block", "vertex")))
-    edges = materialize(edges.join(vertices.select(F.col("vertex").alias("u"), "block"), "u"))
+    edges = materialize(loose.join(vertices.select(F.col("vertex").alias("u"), "block"), "u"))
     grounded = not to_ground.isEmpty()
+    release(loose, cells, pairs, balance)
     return Graph(vertices, edges, n, grounded)

@@ -24,9 +24,9 @@ def order(stars: DataFrame) -> DataFrame:
 
 def fractions(stars: DataFrame) -> DataFrame:
     """``stars`` with ``total``, ``suffix``, ``fraction`` (weight of its suffix) and ``fill`` (weight of one sampled edge)."""
-    along = _order("pivot")
-    after = along.rowsBetween(1, Window.unboundedFollowing)
-    later = F.coalesce(F.sum("weight").over(after), F.lit(0.0))
+    # suffixes are taken downwards: Spark starts a frame that ends at the last row anew at every row
+    down = Window.partitionBy("pivot").orderBy(F.desc(F.col("weight") / F.col("copies")), F.desc("neighbor"))
+    later = F.coalesce(F.sum("weight").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     out = stars.withColumn("later", later).withColumn("total", F.sum("weight").over(Window.partitionBy("pivot")))
     out = out.withColumn("suffix", F.col("weight") + F.col("later")).withColumn("fraction", F.col("weight") / F.col("suffix"))
     return out.withColumn("fill", F.col("weight") * (F.col("later") / F.col("total")) / F.col("copies")).drop("later")

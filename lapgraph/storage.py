@@ -43,7 +43,18 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once nothing reads it any more; other frames are left alone."""
+    for df in tables:
+        path = getattr(df, "_written_to", None)
+        if path is not None:
+            _remove(df.sparkSession, path)
+            df._written_to = None
 
 
 def reachable(spark: SparkSession) -> None:

@@ -214,8 +214,9 @@ def test_large_blocks_are_eliminated_in_rounds(spark):
     assert f.large is not None and f.blocks.count() == 1 and (f.n, f.n_steps) == (35, 33)
     for gauge in ("canonical", "anchored"):
         assert f.solve_array(b, gauge) == pytest.approx(factorize(m).solve_array(b, gauge), abs=1e-9)
-    with pytest.raises(SolveError):
-        f.solve(spark.createDataFrame([("a", 1, 1.0)], "system_id string, vertex long, value double"))
+    rhs = spark.createDataFrame([(f"s{k}", (7 * k) % 35, 1.0 + k) for k in range(100)], "system_id string, vertex long, value double")
+    table = lambda x: {(r["system_id"], r["vertex"]): r["value"] for r in x.collect()}
+    assert table(f.solve(rhs)) == pytest.approx(table(factorize(m).solve(rhs)), abs=1e-9)
 
 
 def test_fallback_policies(spark):
@@ -298,8 +299,9 @@ def test_layouts_and_buckets(spark):
 
 def test_components_of_a_long_path_and_odd_edges(spark):
     edges = generators.path(spark, 3000).select("u", "v").unionByName(spark.createDataFrame([(None, 1), (5000, 5000), (4001, 4000), (4000, 4001)], "u long, v long"))
-    got = {r["vertex"]: r["component"] for r in connected_components(edges).collect()}
-    assert got == {**{i: 0 for i in range(3000)}, 4000: 4000, 4001: 4000}
+    for finish in (0, 10**6):  # by rounds, and in one task
+        got = {r["vertex"]: r["component"] for r in connected_components(edges, finish=finish).collect()}
+        assert got == {**{i: 0 for i in range(3000)}, 4000: 4000, 4001: 4000}
     assert connected_components(edges.where("false")).collect() == []
 
 
@@ -328,10 +330,10 @@ def test_large_blocks_take_named_systems_and_are_saved(spark, tmp_path):
     f.save(f"{tmp_path}/f")
     g = load(spark, f"{tmp_path}/f")
     for gauge in ("canonical", "anchored"):
-        want = table(factorize(m).solve_named(rhs, gauge))
+        want = table(factorize(m).solve(rhs, gauge))
         assert len(want) == 35 + 30 + 5 + 30
-        assert table(f.solve_named(rhs, gauge)) == pytest.approx(want, abs=1e-9)
-        assert table(g.solve_named(rhs, gauge)) == pytest.approx(want, abs=1e-9)
+        assert table(f.solve(rhs, gauge)) == pytest.approx(want, abs=1e-9)
+        assert table(g.solve(rhs, gauge)) == pytest.approx(want, abs=1e-9)
     g.large.steps.pop()
     with pytest.raises(FactorError, match="number of steps"):
         check(g)
@@ -348,3 +350,43 @@ def test_a_star_of_any_width(spark):
         assert sampling.expected_weight(stars, 1 + F.col("lo") % 5).first()[0] == pytest.approx(total, rel=1e-9)
     table = lambda x: sorted(tuple(r) for r in x.collect())
     assert table(sampling.expected_clique(small, most=4)) == table(sampling.expected_clique(small))
+
+
+def test_a_hub_star_takes_linear_time(spark):
+    """Frames that Spark extends row by row: four times the neighbours are far from 16 times the work."""
+    import time
+
+    from lapgraph.storage import materialize
+
+    def took(n, work):
+        stars = materialize(spark.range(n).selectExpr("7L as pivot", "id as neighbor", "pow(2.0, id % 4) as weight", "1 as copies").coalesce(1))
+        work(stars).count()
+        began = time.time()
+        work(stars).write.format("noop").mode("overwrite").save()
+        return time.time() - began
+
+    for work in (sampling.fractions, lambda s: sampling.sample_stars(s.withColumnRenamed("pivot", "index"))):
+        assert took(80_000, work) < 6 * took(20_000, work) + 2
+
+
+def test_written_tables_can_go(spark):
+    from lapgraph.storage import materialize, release
+
+    df = materialize(spark.range(3))
+    path = df._written_to
+    release(df, spark.range(2))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|No such file"):
+        spark.read.parquet(path).count()
+
+
+def test_many_systems_on_one_block_meet_it_in_lots(spark, monkeypatch):
+    from lapgraph.operators import factor
+
+    m = from_edges(generators.path(spark, 12), 12)
+    rhs = spark.createDataFrame([(f"s{k}", k % 12, float(k)) for k in range(300)], "system_id string, vertex long, value double")
+    table = lambda x: {(r["system_id"], r["vertex"]): r["value"] for r in x.collect()}
+    want = table(factorize(m).solve(rhs))
+    monkeypatch.setattr(factor, "SYSTEMS", 4)
+    monkeypatch.setattr(factor, "STACK", 200)
+    assert len(want) == 3600 and table(factorize(m).solve(rhs)) == pytest.approx(want, abs=1e-9)
+    assert table(factorize(m, APPROX).solve(rhs)) == pytest.approx(want, abs=1e-9)
