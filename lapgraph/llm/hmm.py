@@ -240,29 +240,20 @@ class Sequences:
         return np.searchsorted(-self.size, -np.arange(longest), side="left")
 
 
-def forward(model: Model, seqs: Sequences, keep: bool = False, start: np.ndarray | None = None):
-    """Natural log likelihood of each sequence (as given); with ``keep`` also the scaled states and scales by token.
-
-    ``start``: where each sequence (the longest first) starts, if not as the model says.
-    """
-    m_of, states = seqs.running(), len(model.start)
-    total = np.zeros(len(seqs.size))
-    alphas = np.zeros((len(seqs.flat), states)) if keep else None
-    scales = np.ones(len(seqs.flat)) if keep else None
-    alpha = np.broadcast_to(model.start, (len(seqs.size), states)) if start is None else start
-    for t, m in enumerate(m_of.tolist()):
-        at = seqs.begin[:m] + t
+def forward(model: Model, seqs: Sequences) -> np.ndarray:
+    """Natural log likelihood of each sequence (as given)."""
+    total, ones = np.zeros(len(seqs.size)), np.ones(len(model.start))
+    alpha = np.broadcast_to(model.start, (len(seqs.size), len(model.start)))
+    for t, m in enumerate(seqs.running().tolist()):
         if t:
             alpha = alpha[:m] @ model.move
-        alpha = alpha[:m] * model.emit[seqs.flat[at]]
-        c = alpha.sum(1)
-        alpha = alpha / c[:, None]
+        alpha = alpha[:m] * model.emit[seqs.flat[seqs.begin[:m] + t]]
+        c = alpha @ ones  # faster than a sum along short rows
+        alpha /= c[:, None]
         total[:m] += np.log(c)
-        if keep:
-            alphas[at], scales[at] = alpha, c
     out = np.zeros(len(total))
     out[seqs.order] = total
-    return (out, alphas, scales) if keep else out
+    return out
 
 
 @dataclass
@@ -300,28 +291,39 @@ def expected(model: Model, seqs: Sequences, segment: int = SEGMENT, burn: int =
     """
     states, classes = len(model.start), len(model.emit)
     starts, moves, emits, loglik = np.zeros(states), np.zeros((states, states)), np.zeros((classes, states)), 0.0
-    usual = np.linalg.matrix_power(model.move, 256)[0]
+    usual, ones = np.linalg.matrix_power(model.move, 256)[0], np.ones(states)
     for part in Stretches.of(seqs, segment, burn).pieces(PIECE):
         of = np.repeat(np.arange(len(part.size)), part.size)
-        begin = np.cumsum(part.size) - part.size
-        at_own = np.arange(len(of)) - begin[of]
-        own = (at_own >= part.lead[of]) & (at_own < (part.lead + part.own)[of])
-        inner = Sequences(seqs.flat[part.begin[of] + at_own], begin, part.size, np.arange(len(begin)))
-        _, alphas, scales = forward(model, inner, True, np.where(part.first[:, None], model.start, usual))
+        t_of = np.arange(len(of)) - np.repeat(np.cumsum(part.size) - part.size, part.size)
+        m_of = np.searchsorted(-part.size, -np.arange(int(part.size[0])), side="left")
+        first_of = np.cumsum(m_of) - m_of
+        place = first_of[t_of] + of  # tokens of one step stand side by side
+        flat, own = np.empty(len(of), np.int64), np.empty(len(of), bool)
+        flat[place] = seqs.flat[part.begin[of] + t_of]
+        own[place] = (t_of >= part.lead[of]) & (t_of < (part.lead + part.own)[of])
+        steps = list(zip(first_of.tolist(), (first_of + m_of).tolist(), strict=True))
+        alphas, scales = np.empty((len(flat), states)), np.empty(len(flat))
+        alpha = np.where(part.first[:, None], model.start, usual)
+        for t, (i, j) in enumerate(steps):
+            alpha = np.multiply(alpha[: j - i] @ model.move if t else alpha, model.emit[flat[i:j]], out=alphas[i:j])
+            scales[i:j] = alpha @ ones  # faster than a sum along short rows
+            alpha /= scales[i:j, None]
         loglik += float(np.log(scales[own]).sum())
-        beta, ahead, own_ahead = np.ones((len(begin), states)), np.zeros((0, states)), np.zeros(0, bool)
-        m_of = inner.running().tolist()
-        for t in range(len(m_of) - 1, -1, -1):
-            m, at = m_of[t], begin[: m_of[t]] + t
+        stretched = not own.all()
+        beta, ahead = np.ones((len(part.size), states)), np.zeros((0, states))
+        for i, j in reversed(steps):
             n = len(ahead)
             if n:
-                moves += alphas[at[:n]].T @ (ahead * own_ahead[:, None])
+                moves += alphas[i : i + n].T @ (ahead * own[j : j + n, None] if stretched else ahead)
                 beta[:n] = ahead @ model.move.T
-            ahead = beta[:m] * model.emit[inner.flat[at]] / scales[at][:, None]
-            own_ahead = own[at]
-            alphas[at] *= beta[:m]
-        starts += alphas[begin[part.first]].sum(0)
-        emits += np.stack([np.bincount(inner.flat[own], alphas[own, s], classes) for s in range(states)], axis=1)
+            ahead = model.emit[flat[i:j]]
+            ahead *= beta[: j - i]
+            ahead /= scales[i:j, None]
+            alphas[i:j] *= beta[: j - i]
+        starts += alphas[: len(part.size)][part.first].sum(0)
+        if stretched:
+            alphas, flat = alphas[own], flat[own]
+        emits += np.stack([np.bincount(flat, x, classes) for x in np.ascontiguousarray(alphas.T)], axis=1)
     return starts, moves * model.move, emits, loglik
 
 
