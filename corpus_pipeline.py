@@ -14,25 +14,39 @@ from lapgraph.storage import materialize
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose toxicity score is below their language's threshold."""
+    """The documents whose toxicity score is below their language's threshold.
+
+    Null texts are judged as empty ones; rows that repeat stay or go together; without labels of both kinds all stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.without_toxic(docs, labels)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the one with the least doc_id."""
+    """One document of each class of near-duplicates: the one with the least doc_id, a null one only if there is no other.
+
+    Null texts and empty ones are one class. Of rows that repeat id and text one stays.
+    """
     return dartminhash.deduplicate(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the values of secrets replaced; ``n_chars`` follows the text where it changed."""
+    """All documents, with the values of secrets replaced; ``n_chars``, if there, follows the text.
+
+    A null text stays null and keeps its ``n_chars``; an empty one stays empty; rows that repeat stay as many, and alike.
+    """
     model = secrets.train(secrets.labelled_samples(spark))
     found = docs.withColumn("text", secrets.redact(F.col("text"), model))
+    if "n_chars" not in docs.columns:
+        return found
     return found.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 ids."""
+    """Pieces of sequences of 1024 ids.
+
+    A null or empty text gives one piece, of the end id alone; rows that repeat are packed as often; no document, no piece.
+    """
     return packing.checksum(packing.pack(docs, 1024))
 
 
