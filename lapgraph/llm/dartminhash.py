@@ -19,8 +19,9 @@ A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**6)**32 = 0
 a pair that shares a band is in one component, compared, or ruled out by its sizes and the order of its elements.
 
 Scale: texts are read for their sketches, and again for the elements of pairs in doubt; what is shuffled are numbers.
-Copies, buckets, representatives and classes may hold a third of all rows: joins on them deal such keys over many tasks
-(``spread_join``), and everything else about them is aggregated before the shuffle.
+Copies, representatives and classes may hold a third of all rows: joins on them deal such keys over many tasks
+(``spread_join``). Joins on buckets, of two numbers a row, read written tables on both sides, so that AQE splits a hot one
+as soon as it is large. Everything else about such keys is aggregated before the shuffle.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapgraph.llm import wordhash
-from lapgraph.llm.texts import slices, spread_join
+from lapgraph.llm.texts import slices, small_batches, spread_join
 from lapgraph.operators.components import connected_components
 from lapgraph.storage import materialize
 
@@ -42,6 +43,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
 #: Estimates from 192 coordinates deviate by 0.03 (standard deviation) at 0.8; between these bounds pairs are computed exactly.
 SURELY_NOT, SURELY = 0.66, 0.93
+#: Texts signed at once, at most: a text looks at about BANDS * ROWS * 10 cells of the plane, however short it is.
+SIGNED = 512
 #: Rows up to which a list of keys is broadcast (24 bytes each) instead of shuffling the texts.
 BROADCAST_ROWS = 200_000
 
@@ -148,7 +151,7 @@ def sign(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text", 1_000_000):
+            for piece in slices(batch, "text", 1_000_000, SIGNED):
                 hashes, owner = shingles(piece.column("text"))
                 n = piece.num_rows
                 ids = signatures(_cells(hashes, owner), None, owner, n, k)
@@ -171,7 +174,7 @@ def sign(docs: DataFrame) -> DataFrame:
 def _shared(buckets: DataFrame) -> DataFrame:
     """``bucket, node`` of the rows whose bucket has another member."""
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    return spread_join(buckets, materialize(sizes.select("bucket")), "bucket").select("bucket", "node")
+    return buckets.join(materialize(sizes.select("bucket")), "bucket").select("bucket", "node")
 
 
 def _popular(shared: DataFrame) -> DataFrame:
@@ -183,7 +186,7 @@ def _popular(shared: DataFrame) -> DataFrame:
 
 def _star(shared: DataFrame, reps: DataFrame) -> DataFrame:
     """``node, rep`` of all members but the representative."""
-    return spread_join(shared, reps, "bucket").where("node != rep").select("node", "rep").distinct()
+    return shared.join(reps, "bucket").where("node != rep").select("node", "rep").distinct()
 
 
 def _estimate(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -261,9 +264,9 @@ def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, least: flo
 
 def _unmet(shared: DataFrame, reps: DataFrame, component: DataFrame) -> DataFrame:
     """``node, component`` of texts that share a bucket with a text of another component, neither being its representative."""
-    others = spread_join(shared, reps, "bucket").where("node != rep").select("bucket", "node")
+    others = shared.join(reps, "bucket").where("node != rep").select("bucket", "node")
     others = materialize(others.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    return spread_join(others, _mixed(others), "bucket").select("node", "component").distinct()
+    return others.join(_mixed(others), "bucket").select("node", "component").distinct()
 
 
 def _mixed(member: DataFrame) -> DataFrame:
@@ -299,7 +302,7 @@ def _candidates(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     often = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     order = F.array_sort(F.collect_list(F.struct("often", "cell")))  # of a text
     sizes = sets.select("node", F.aggregate("counts", F.lit(0), lambda a, c: a + c).alias("size"))
-    ranked = spread_join(cells, materialize(often), "cell").groupBy("node").agg(order.alias("order")).join(sizes, "node").join(nodes, "node")
+    ranked = cells.join(materialize(often), "cell").groupBy("node").agg(order.alias("order")).join(sizes, "node").join(nodes, "node")
     alone = F.col("size") - F.size("order")  # cells of no other text come first
     most = lambda share: F.floor(F.col("size") * (1 - share) + 1e-6)
     early = F.slice("order", F.lit(1), F.greatest(F.lit(0), (most(least) + 1 - alone).cast("int")))
@@ -328,13 +331,13 @@ def links(signed: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> Data
     member = shared.join(joined.select(F.col("vertex").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     member = materialize(member)
     # texts that share two bands share two mixed buckets, unless they are in one component already
-    own = spread_join(member, _mixed(member), "bucket").groupBy("node", "component").agg(F.array_sort(F.collect_list("bucket")).alias("own"))  # BANDS at most
+    own = member.join(_mixed(member), "bucket").groupBy("node", "component").agg(F.array_sort(F.collect_list("bucket")).alias("own"))  # BANDS at most
     both = F.flatten(F.transform("own", lambda b, i: F.transform(F.slice("own", i + 2, BANDS), lambda c: F.xxhash64(b, c))))
     parts = materialize(own.select("node", "component", F.explode(both).alias("bucket")))
     drawn = F.min_by(F.struct("node", "component"), F.xxhash64("node", "bucket"))
     spans = parts.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), drawn.alias("rep")).where("lo != hi")
     spans = materialize(spans.select("bucket", F.col("rep.node").alias("rep"), F.col("rep.component").alias("rep_component")))
-    more = spread_join(parts, spans, "bucket").where("component != rep_component")
+    more = parts.join(spans, "bucket").where("component != rep_component")
     more = more.select(F.greatest("node", "rep").alias("node"), F.least("node", "rep").alias("rep")).distinct()
     met = pairs.select(F.greatest("node", "rep").alias("node"), F.least("node", "rep").alias("rep"))
     more = materialize(more.join(met, ["node", "rep"], "left_anti"))
@@ -357,8 +360,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     ``representative``: whether the row has that id (and the least fingerprint among texts with it). Null texts count as
     empty, and texts without words are alike only if they are equal. Equal rows get equal results. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     signed = materialize(sign(docs))
-    labels = connected_components(links(signed, docs, least), "node", "rep").select(F.col("vertex").alias("node"), "component")
+    labels = connected_components(materialize(links(signed, docs, least)), "node", "rep").select(F.col("vertex").alias("node"), "component")
     placed = spread_join(signed.select("doc_id", "node"), labels, "node", "left")
     placed = materialize(placed.select("doc_id", "node", F.coalesce("component", "node").alias("class_id")))
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("node"))

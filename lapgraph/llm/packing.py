@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapgraph.llm.texts import slices
+from lapgraph.llm.texts import slices, small_batches
 from lapgraph.storage import materialize
 
 VOCABULARY = "byte_bpe_50k"
@@ -96,8 +96,13 @@ def place(encoded: DataFrame) -> DataFrame:
     return encoded.join(F.broadcast(offsets), "part").withColumn("at", F.col("offset") + F.col("start"))
 
 
-def cut(placed: DataFrame, length: int = 1024) -> DataFrame:
-    """A row per piece: ``doc_id, start, length, ids, doc_tokens, sequence_id, offset``; ids as in ``placed``."""
+def cut(placed: DataFrame, length: int = 1024, digest: bool = False) -> DataFrame:
+    """A row per piece: ``doc_id, start, length, ids, doc_tokens, sequence_id, offset``; ids as in ``placed``.
+
+    ``digest``: ``ids_crc32`` (of the ids as little-endian unsigned 32-bit integers) in place of ``ids``.
+    """
+    name, kept = ("ids_crc32", "long") if digest else ("ids", "binary")
+    made = (lambda parts: pa.array([_crc32(x) for x in parts], "int64")) if digest else (lambda parts: pa.array(parts, pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,31 +117,36 @@ def cut(placed: DataFrame, length: int = 1024) -> DataFrame:
                 start = begin - at[doc]
                 ids, size = piece.column("ids").to_pylist(), end - begin
                 parts = [ids[d][2 * a : 2 * (a + m)] for d, a, m in zip(doc.tolist(), start.tolist(), size.tolist(), strict=True)]
-                columns = [piece.column("doc_id").take(pa.array(doc)), *map(pa.array, (start, size)), pa.array(parts, pa.binary()), *map(pa.array, (n[doc], sequence, begin - sequence * length))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+                columns = [piece.column("doc_id").take(pa.array(doc)), *map(pa.array, (start, size)), made(parts), *map(pa.array, (n[doc], sequence, begin - sequence * length))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", name, "doc_tokens", "sequence_id", "offset"])
 
     kind = placed.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    schema = f"doc_id {kind}, start long, length long, {name} {kept}, doc_tokens long, sequence_id long, offset long"
     return placed.select("doc_id", "at", "n", "ids").mapInArrow(run, schema)
 
 
+def _crc32(ids: bytes) -> int:
+    return zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4").tobytes())
+
+
 def checksum(pieces: DataFrame) -> DataFrame:
     """``pieces`` with ``ids_crc32`` (of the ids as little-endian unsigned 32-bit integers) in place of ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in batch.column("ids").to_pylist()]
+            sums = [_crc32(x) for x in batch.column("ids").to_pylist()]
             yield batch.set_column(batch.schema.get_field_index("ids"), "ids_crc32", pa.array(sums, "int64"))
 
     schema = ", ".join(f"{c if c != 'ids' else 'ids_crc32'} {t if c != 'ids' else 'long'}" for c, t in pieces.dtypes)
     return pieces.mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, length: int = 1024, vocabulary: str = VOCABULARY, folder: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, length: int = 1024, vocabulary: str = VOCABULARY, folder: str | None = None, digest: bool = False) -> DataFrame:
     """The pieces of all documents, packed into sequences of ``length`` ids.
 
-    Each id lies in one piece; equal rows are packed as often as they occur; an empty table gives no pieces.
+    ``digest``: as in ``cut``. Each id lies in one piece; equal rows are packed as often as they occur; an empty table gives no pieces.
     """
     if length < 1:
         raise ValueError("length must be positive")
-    return cut(place(materialize(encode_documents(docs, vocabulary, folder))), length)
+    small_batches(docs.sparkSession)
+    return cut(place(materialize(encode_documents(docs, vocabulary, folder))), length, digest)

@@ -36,7 +36,7 @@ def op5_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.checksum(packing.pack(_table(spark, sf_dir, "documents"), 1024))
+    return packing.pack(_table(spark, sf_dir, "documents"), 1024, digest=True)
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

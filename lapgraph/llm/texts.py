@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapgraph.storage import materialize
@@ -42,6 +42,15 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, rows: i
     tidy()
 
 
+#: Bytes of an Arrow batch on its way to Python, about, where memory is scarce.
+BATCH_BYTES = 8_000_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session hold about BATCH_BYTES: a batch of 10,000 rows of texts lies in memory four times a task."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def hashed_sample(df: DataFrame, n: int, total: int, *key: str | Column) -> DataFrame:
     """The n rows of least hash of ``key`` (all, if there are no more), the same on every call.
 

@@ -19,10 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lapgraph.llm import wordhash
-from lapgraph.llm.texts import hashed_sample, slices
+from lapgraph.llm.texts import hashed_sample, slices, small_batches
 from lapgraph.storage import materialize
 
 #: Labelled rows of each label from which the network is fitted, at most.
@@ -312,16 +311,17 @@ def without_toxic(docs: DataFrame, labels: DataFrame, least: int = 50, seed: int
     net = train(docs, labels, seed)
     if net is None:
         return docs
+    small_batches(docs.sparkSession)
     name, lang, own = (_fresh(docs, n) for n in ("logit", "threshold_lang", "threshold"))
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch, "text", 1_000_000):
-                found = sent.value.logits(words_of(piece.column("text"))).astype("f8")
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(found)], [*piece.schema.names, name])
+    def score(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
+        found = [sent.value.logits(words_of(piece.column("text"))).astype("f8") for piece in slices(batch, "text", 1_000_000)]
+        return pa.array(np.concatenate([np.zeros(0), *found]))
 
-    scored = materialize(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())])))
+    # other columns do not pass through Python
+    scored = materialize(docs.withColumn(name, F.arrow_udf(score, "double")(F.col("text"))))
     cut, cuts = calibrate(scored.select("doc_id", "lang", F.col(name).alias("logit")), labels, least)
     cuts = cuts.toDF(lang, own)
     cuts = F.broadcast(cuts) if cuts.count() <= LANGUAGES else cuts  # a row per language with labelled rows

@@ -58,3 +58,8 @@ def test_empty_table_and_bad_length(make_docs):
     assert packing.pack(make_docs([])).collect() == []
     with pytest.raises(ValueError):
         packing.pack(make_docs([]), 0)
+
+
+def test_digests_made_while_cutting_are_those_of_the_pieces(make_docs, odd_texts):
+    docs = make_docs(odd_texts).coalesce(1)
+    assert packing.pack(docs, 64, digest=True).collect() == packing.checksum(packing.pack(docs, 64)).collect()
