@@ -47,7 +47,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text gives one piece, of the end id alone; rows that repeat are packed as often; no document, no piece.
     """
-    return packing.checksum(packing.pack(docs, 1024))
+    return packing.pack(docs, 1024, digest=True)
 
 
 STAGES = [("toxicity", toxicity_filter), ("near_dedup", near_dedup), ("secrets", redact_secrets), ("packing", pack)]
