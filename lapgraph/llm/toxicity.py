@@ -21,7 +21,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lapgraph.llm import wordhash
-from lapgraph.llm.texts import hashed_sample, slices, small_batches
+from lapgraph.llm.texts import hashed_sample, slices, small_batches, tidy
 from lapgraph.storage import materialize
 
 #: Labelled rows of each label from which the network is fitted, at most.
@@ -213,7 +213,10 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 0) -> Network | None:
     along = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_bytes", F.sum(size).over(along)).where(F.col("_bytes") <= SAMPLE_BYTES // 2).drop("_bytes").toArrow().sort_by("doc_id")
     labels_of = rows.column("toxic").to_pylist()
-    return fit(rows.column("text").to_pylist(), labels_of, seed=seed) if len(set(labels_of)) == 2 else None
+    net = fit(rows.column("text").to_pylist(), labels_of, seed=seed) if len(set(labels_of)) == 2 else None
+    del rows
+    tidy()  # the driver lives on
+    return net
 
 
 def logits(docs: DataFrame, net: Network) -> DataFrame:
