@@ -7,7 +7,8 @@ from dataclasses import asdict, dataclass, field
 from enum import Enum
 
 U32_MAX = 2**32 - 1
-EPS = 2.0**-52
+#: Distance from 1 to the next number, in double and in single precision.
+EPS, EPS_SINGLE = 2.0**-52, 2.0**-23
 #: Solved variables up to which a block is factored exactly unless told otherwise.
 DEFAULT_MAX_DIM = 24
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapgraph.model import Config, DenseFactorizationFailed, DenseFailure, ExactFailure, FactorError, Fallback, SolveError
+from lapgraph.model import Config, CsrError, DenseFactorizationFailed, DenseFailure, ExactFailure, FactorError, Fallback, SolveError
 from lapgraph.operators import kernels, rounds
 from lapgraph.operators.ingest import Graph, ingest
 from lapgraph.sources.matrix import Matrix, from_any, from_csr
@@ -185,13 +185,15 @@ def _named(systems: list, vertices: np.ndarray, x: np.ndarray):
 class Factor:
     """``blocks``: the factor table. ``original_n``: rows of the matrix; with a ground there is one variable more.
 
-    ``large``: the factor of the blocks that no single task holds, if there are any.
+    ``large``: the factor of the blocks that no single task holds, if there are any. ``single``: whether solutions are
+    rounded to single precision.
     """
 
     blocks: DataFrame
     original_n: int
     config: Config
     large: rounds.RoundFactor | None = None
+    single: bool = False
 
     @property
     def spark(self) -> SparkSession:
@@ -208,7 +210,7 @@ class Factor:
 
     @property
     def dtype(self) -> np.dtype:
-        return np.dtype(np.float64)
+        return np.dtype(np.float32 if self.single else np.float64)
 
     @property
     def n_steps(self) -> int:
@@ -218,6 +220,9 @@ class Factor:
         rows = self.blocks.where("fallback is not null").select("block", "fallback", "fallback_vertex", "failure", "dim").orderBy("block").collect()
         return [Fallback(r["fallback"], r["fallback_vertex"], DenseFailure(r["failure"]) if r["failure"] else None, r["dim"] if r["fallback"] == "will_not_fit" else None) for r in rows]
 
+    def __repr__(self) -> str:
+        return f"Factor(original_n={self.original_n}, seed={self.config.seed}, copies={self.config.copies}, dtype={self.dtype.name})"
+
     def solve(self, rhs: DataFrame, gauge: str = "canonical") -> DataFrame:
         """``system_id, vertex, value``: solutions for ``rhs`` (vertex, value[, system_id]).
 
@@ -225,6 +230,10 @@ class Factor:
         that their right sides touch, as all others are 0. gauge: ``canonical`` centres floating blocks, ``anchored``
         pins the last vertex of each block at 0.
         """
+        found = self._solve(rhs, gauge)
+        return found.withColumn("value", F.col("value").cast("float")) if self.single else found
+
+    def _solve(self, rhs: DataFrame, gauge: str) -> DataFrame:
         canonical, n, named = gauge == "canonical", self.original_n, "system_id" in rhs.columns
         system = F.col("system_id").cast("string") if named else F.lit(None).cast("string")
         own = rhs.select(F.col("vertex").cast("long").alias("vertex"), F.col("value").cast("double").alias("value"), system.alias("system"))
@@ -267,7 +276,7 @@ class Factor:
         table = pa.table({"vertex": np.arange(len(b), dtype=np.int64), "value": b})
         rhs = self.spark.createDataFrame(table) if len(b) else self.spark.createDataFrame([], "vertex long, value double")
         found = self.solve(rhs, gauge).toArrow()
-        out = np.zeros(self.original_n)
+        out = np.zeros(self.original_n, self.dtype)
         if found.num_rows:
             out[found.column("vertex").to_numpy()] = found.column("value").to_numpy()
         return out
@@ -290,7 +299,7 @@ class Factor:
         if self.large is not None:
             self.large.save(f"{path}/large")
             large = {"turns": len(self.large.steps), "grounded": self.large.graph.grounded}
-        meta = json.dumps({"format_version": FORMAT_VERSION, "original_n": self.original_n, "config": self.config.to_json(), "large": large})
+        meta = json.dumps({"format_version": FORMAT_VERSION, "original_n": self.original_n, "config": self.config.to_json(), "large": large, "single": self.single})
         self.blocks.write.mode("overwrite").parquet(f"{path}/blocks")
         self.spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
@@ -301,7 +310,7 @@ def load(spark: SparkSession, path: str) -> Factor:
     if meta["format_version"] != FORMAT_VERSION:
         raise FactorError(f"unsupported factor format version {meta['format_version']} (supported: {FORMAT_VERSION})", found=meta["format_version"], supported=FORMAT_VERSION)
     large = rounds.load(spark, f"{path}/large", meta["large"]["turns"], meta["original_n"], meta["large"]["grounded"]) if meta.get("large") else None
-    factor = Factor(spark.read.schema(SCHEMA).parquet(f"{path}/blocks"), meta["original_n"], Config.from_json(meta["config"]), large)
+    factor = Factor(spark.read.schema(SCHEMA).parquet(f"{path}/blocks"), meta["original_n"], Config.from_json(meta["config"]), large, meta.get("single", False))
     check(factor)
     return factor
 
@@ -367,7 +376,7 @@ def factorize(source, config: Config | None = None, spark: SparkSession | None =
         large = rounds.eliminate(_part(graph, big), config.seed, config.copies)
         graph = _part(graph, sizes.where("not large").select("block"))
     blocks = materialize(factor_blocks(graph, config))
-    factor = Factor(blocks, matrix.n, config, large)
+    factor = Factor(blocks, matrix.n, config, large, matrix.single)
     found = factor.fallbacks() if config.backend.max_dim else []
     broken = [f for f in found if f.kind == "invalid_pivot"]
     if broken and config.backend.on_failure is ExactFailure.ERROR:
@@ -378,5 +387,8 @@ def factorize(source, config: Config | None = None, spark: SparkSession | None =
 
 
 def factorize_raw(spark: SparkSession, row_ptrs, col_indices, values, n: int, config: Config | None = None) -> Factor:
-    """The factor of a matrix given as CSR arrays."""
+    """The factor of a matrix given as CSR arrays; numpy arrays must be contiguous."""
+    for name, given in (("row_ptrs", row_ptrs), ("col_indices", col_indices), ("values", values)):
+        if isinstance(given, np.ndarray) and given.ndim == 1 and not given.flags.c_contiguous:
+            raise CsrError(f"{name} must be contiguous", name=name)
     return factorize(from_csr(spark, row_ptrs, col_indices, values, n), config)

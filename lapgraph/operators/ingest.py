@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapgraph.model import EPS, Asymmetric, NonFiniteRow, NonFiniteValue, NotDiagonallyDominant, PositiveOffDiagonal
+from lapgraph.model import EPS, EPS_SINGLE, Asymmetric, NonFiniteRow, NonFiniteValue, NotDiagonallyDominant, PositiveOffDiagonal
 from lapgraph.operators.components import connected_components
 from lapgraph.sources.matrix import Matrix
 from lapgraph.storage import materialize, release
@@ -34,7 +34,7 @@ def is_canonical(entries: DataFrame) -> bool:
 def coalesce(matrix: Matrix) -> DataFrame:
     """``row, col, value, pos, stored``: duplicates summed; pos is the first, stored how many."""
     total = ordered_sum(F.col("pos"), F.col("value")) if matrix.ordered else F.sum("value")
-    return matrix.entries.groupBy("row", "col").agg(total.alias("value"), F.min("pos").alias("pos"), F.count(F.lit(1)).alias("stored"))
+    return matrix.entries.groupBy("row", "col").agg(matrix.rounded(total).alias("value"), F.min("pos").alias("pos"), F.count(F.lit(1)).alias("stored"))
 
 
 def mirrors(cells: DataFrame) -> DataFrame:
@@ -50,14 +50,14 @@ def mirrors(cells: DataFrame) -> DataFrame:
     return pairs.where("upper != 0 or lower != 0").select(F.col("lo").alias("row"), F.col("hi").alias("col"), "upper", "lower")
 
 
-def violations(pairs: DataFrame) -> DataFrame:
+def violations(pairs: DataFrame, eps: float = EPS) -> DataFrame:
     """``row, col, kind`` of pairs that are unequal (asymmetric) or above zero (positive)."""
-    close = F.abs(F.col("upper") - F.col("lower")) <= 8 * EPS * F.greatest(F.abs("upper"), F.abs("lower"))
+    close = F.abs(F.col("upper") - F.col("lower")) <= 8 * eps * F.greatest(F.abs("upper"), F.abs("lower"))
     kind = F.when(~finite(F.col("upper")) | ~finite(F.col("lower")), "non_finite").when(~close, "asymmetric").when(F.col("upper") > 0, "positive")
     return pairs.withColumn("kind", kind).where("kind is not null").select("row", "col", "upper", "lower", "kind")
 
 
-def balances(cells: DataFrame, terms: DataFrame, ordered: bool = True) -> DataFrame:
+def balances(cells: DataFrame, terms: DataFrame, ordered: bool = True, single: bool = False) -> DataFrame:
     """``row, diagonal, excess, class, surplus`` of every row of ``terms`` (row, terms).
 
     class: non_finite, deficit, negligible or surplus, by an excess of a few roundings of the row's own size.
@@ -67,9 +67,9 @@ def balances(cells: DataFrame, terms: DataFrame, ordered: bool = True) -> DataFr
     sums = cells.where("row != col").groupBy("row").agg(off.alias("off"))
     rows = terms.join(diagonal, "row", "left").join(sums, "row", "left").fillna(0.0, ["diagonal", "off"])
     rows = rows.withColumn("excess", F.col("diagonal") + F.col("off"))
-    rows = rows.withColumn("scale", (F.abs("diagonal") - F.col("excess")) + F.col("diagonal")).withColumn("tolerance", EPS * F.col("scale") * F.col("terms"))
+    rows = rows.withColumn("scale", (F.abs("diagonal") - F.col("excess")) + F.col("diagonal")).withColumn("tolerance", (EPS_SINGLE if single else EPS) * F.col("scale") * F.col("terms"))
     kind = (
-        F.when(~finite(F.col("scale")), "non_finite")
+        F.when(~finite(F.col("scale").cast("float") if single else F.col("scale")), "non_finite")
         .when(F.col("excess") < -F.col("tolerance"), "deficit")
         .when(F.col("excess") <= F.col("tolerance"), "negligible")
         .otherwise("surplus")
@@ -125,10 +125,10 @@ def ground(balance: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
 def _raise_non_finite(matrix: Matrix) -> None:
     first = matrix.entries.where(~finite(F.col("value"))).agg(F.min("pos")).first()[0]
     if first is not None:
-        raise NonFiniteValue(first)
+        raise NonFiniteValue(matrix.place(first))
 
 
-def _raise_first(bad: DataFrame, pairs: DataFrame, cells: DataFrame) -> None:
+def _raise_first(bad: DataFrame, pairs: DataFrame, cells: DataFrame, matrix: Matrix) -> None:
     """Raise the violation that a walk over the rows meets first."""
     # a lower entry without its mirror is met when the next upper entry of its row's column is claimed, or at its row
     lone = bad.where("upper = 0").select(F.col("row").alias("lo"), F.col("col").alias("hi"))
@@ -141,7 +141,7 @@ def _raise_first(bad: DataFrame, pairs: DataFrame, cells: DataFrame) -> None:
         return
     if first["kind"] == "non_finite":
         own = cells.where(((F.col("row") == first["r"]) & (F.col("col") == first["s"])) | ((F.col("row") == first["s"]) & (F.col("col") == first["r"])))
-        raise NonFiniteValue(own.where(~finite(F.col("value"))).agg(F.min("pos")).first()[0])
+        raise NonFiniteValue(matrix.place(own.where(~finite(F.col("value"))).agg(F.min("pos")).first()[0]))
     raise (PositiveOffDiagonal if first["kind"] == "positive" else Asymmetric)(first["r"], first["s"])
 
 
@@ -152,7 +152,7 @@ def ingest(matrix: Matrix, checked: bool = True) -> Graph:
     pairs = materialize(mirrors(cells))
     stored = cells.groupBy("row").agg(F.sum("stored").alias("terms"))
     terms = matrix.vertices.withColumnRenamed("vertex", "row").join(stored, "row", "left").fillna(0, ["terms"])
-    balance = materialize(balances(cells, terms, matrix.ordered))
+    balance = materialize(balances(cells, terms, matrix.ordered, matrix.single))
     if checked:
         if not cells.where(~finite(F.col("value"))).isEmpty():
             if not is_canonical(matrix.entries):
@@ -160,14 +160,14 @@ def ingest(matrix: Matrix, checked: bool = True) -> Graph:
                 over = cells.where(~finite(F.col("value"))).agg(F.min("row")).first()[0]
                 raise NonFiniteRow(over)
             diagonal = cells.where(~finite(F.col("value")) & (F.col("row") == F.col("col"))).agg(F.min("pos")).first()[0]
-            bad = violations(pairs)
+            bad = violations(pairs, matrix.eps)
             if diagonal is not None and bad.isEmpty():
-                raise NonFiniteValue(diagonal)
+                raise NonFiniteValue(matrix.place(diagonal))
             if bad.isEmpty():
                 _raise_non_finite(matrix)
-        bad = violations(pairs)
+        bad = violations(pairs, matrix.eps)
         if not bad.isEmpty():
-            _raise_first(materialize(bad), pairs, cells)
+            _raise_first(materialize(bad), pairs, cells, matrix)
         worst = balance.where("class in ('non_finite', 'deficit')").agg(F.min(F.struct("row", "class"))).first()[0]
         if worst is not None:
             raise (NonFiniteRow if worst["class"] == "non_finite" else NotDiagonallyDominant)(worst["row"])

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapgraph.model import Config
+
 
 def merge(entries: DataFrame, k: int = 1) -> DataFrame:
     """``pivot, neighbor, weight, copies, dropped``: parallel edges merged, copies capped at k."""
@@ -80,3 +84,18 @@ def sample_stars(stars: DataFrame, seed: int = 0, k: int = 1) -> DataFrame:
     ahead = Window.partitionBy("index").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = draws.unionByName(marks).withColumn("to", F.last("b", ignorenulls=True).over(ahead)).where("kind = 1 and fill > 0 and to is not null and to != a")
     return met.select("index", F.least("a", "to").alias("lo"), F.greatest("a", "to").alias("hi"), F.col("fill").alias("weight"))
+
+
+@dataclass(frozen=True)
+class StarSampler:
+    """``sample_stars`` with what a configuration asks for; ``copies`` is how often edges are split in effect."""
+
+    seed: int = 0
+    copies: int = 1
+
+    @staticmethod
+    def of(config: Config) -> StarSampler:
+        return StarSampler(config.seed, config.copies)
+
+    def sample(self, stars: DataFrame) -> DataFrame:
+        return sample_stars(stars, self.seed, self.copies)

@@ -7,10 +7,10 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapgraph.model import U32_MAX, CsrError
+from lapgraph.model import EPS, EPS_SINGLE, U32_MAX, CsrError
 
 SCHEMA = "row long, col long, pos long, value double"
 
@@ -22,11 +22,28 @@ class Matrix:
     ``pos`` numbers the stored entries; it orders sums of duplicates and names places in errors. ``ordered``: whether sums
     follow the stored order to the last bit, which gathers the entries of a row in one task; without it they are plain
     sums, combined before the shuffle, which is what a table with hub rows wants.
+
+    ``single``: values, and sums of duplicates, are rounded to single precision, rows are judged by its roundings, and
+    solutions are single; what lies between is reckoned in double precision. ``numbered``: whether ``pos`` are places;
+    otherwise it only sorts by row and column, and errors count the entries before the one they name.
     """
 
     entries: DataFrame
     n: int
     ordered: bool = True
+    single: bool = False
+    numbered: bool = True
+
+    @property
+    def eps(self) -> float:
+        return EPS_SINGLE if self.single else EPS
+
+    def rounded(self, x: Column) -> Column:
+        return x.cast("float").cast("double") if self.single else x
+
+    def place(self, pos: int | None) -> int | None:
+        """The place of the entry with ``pos`` among the stored ones."""
+        return pos if self.numbered or pos is None else self.entries.where(F.col("pos") < pos).count()
 
     @property
     def vertices(self) -> DataFrame:
@@ -54,16 +71,18 @@ def _indices(values: Any, name: str) -> np.ndarray:
     return found.astype(np.int64)
 
 
-def from_csr(spark: SparkSession, row_ptrs: Any, col_indices: Any, values: Any, n: int) -> Matrix:
+def from_csr(spark: SparkSession, row_ptrs: Any, col_indices: Any, values: Any, n: int, single: bool = False) -> Matrix:
     """A matrix from CSR arrays; the first structural fault is raised."""
-    return _checked(spark, _indices(row_ptrs, "row_ptrs"), _indices(col_indices, "col_indices"), _values(values, "values"), n)
+    return _checked(spark, _indices(row_ptrs, "row_ptrs"), _indices(col_indices, "col_indices"), _values(values, "values", single), n, single)
 
 
-def _values(values: Any, name: str) -> np.ndarray:
-    return _column(values, name, "iuf", "an integer or floating-point").astype(np.float64)
+def _values(values: Any, name: str, single: bool) -> np.ndarray:
+    found = _column(values, name, "iuf", "an integer or floating-point")
+    with np.errstate(over="ignore"):
+        return (found.astype(np.float32) if single else found).astype(np.float64)
 
 
-def _checked(spark: SparkSession, ptrs: np.ndarray, cols: np.ndarray, vals: np.ndarray, n: int) -> Matrix:
+def _checked(spark: SparkSession, ptrs: np.ndarray, cols: np.ndarray, vals: np.ndarray, n: int, single: bool) -> Matrix:
     if not 0 <= n <= U32_MAX:
         raise CsrError("matrix dimension exceeds u32::MAX", n=n)
     if len(ptrs) != n + 1:
@@ -84,10 +103,10 @@ def _checked(spark: SparkSession, ptrs: np.ndarray, cols: np.ndarray, vals: np.n
         raise CsrError(f"column index out of bounds at position {p}: {cols[p]} >= {n}", position=p, col=int(cols[p]), n=n)
     rows = np.repeat(np.arange(n, dtype=np.int64), np.diff(ptrs))
     table = pa.table({"row": rows, "col": cols, "pos": np.arange(len(cols), dtype=np.int64), "value": vals})
-    return Matrix(spark.createDataFrame(table, SCHEMA) if len(cols) else spark.createDataFrame([], SCHEMA), n)
+    return Matrix(spark.createDataFrame(table, SCHEMA) if len(cols) else spark.createDataFrame([], SCHEMA), n, single=single)
 
 
-def from_csr_like(spark: SparkSession, matrix: Any) -> Matrix:
+def from_csr_like(spark: SparkSession, matrix: Any, single: bool = False) -> Matrix:
     """A matrix from an object with ``indptr, indices, data, shape``, as scipy's CSR classes have."""
     if getattr(matrix, "format", "csr") != "csr":
         raise CsrError(f"expected CSR matrix, got {matrix.format.upper()}")
@@ -96,7 +115,7 @@ def from_csr_like(spark: SparkSession, matrix: Any) -> Matrix:
         raise CsrError(f"expected square matrix (got {rows}x{cols})", rows=rows, cols=cols)
     if rows > U32_MAX:
         raise CsrError("matrix dimension exceeds u32::MAX", n=rows)
-    return _checked(spark, _indices(matrix.indptr, "indptr"), _indices(matrix.indices, "indices"), _values(matrix.data, "data"), rows)
+    return _checked(spark, _indices(matrix.indptr, "indptr"), _indices(matrix.indices, "indices"), _values(matrix.data, "data", single), rows, single)
 
 
 def from_any(spark: SparkSession, source: Any) -> Matrix:
@@ -113,19 +132,27 @@ def from_any(spark: SparkSession, source: Any) -> Matrix:
     return from_csr_like(spark, source)
 
 
-def from_entries(entries: DataFrame, n: int, ordered: bool = False) -> Matrix:
-    """A matrix from rows (row, col, value[, pos]); indices outside 0..n-1 are raised, the first by position."""
-    if "pos" not in entries.columns:
-        entries = entries.withColumn("pos", F.xxhash64("row", "col"))
-    entries = entries.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("pos").cast("long").alias("pos"), F.col("value").cast("double").alias("value"))
+def from_entries(entries: DataFrame, n: int, ordered: bool = False, single: bool = False) -> Matrix:
+    """A matrix from rows (row, col, value[, pos]); indices outside 0..n-1 are raised, the first by position.
+
+    Without ``pos`` entries count as stored by row and column.
+    """
+    numbered = "pos" in entries.columns
+    value = F.col("value").cast("float").cast("double") if single else F.col("value").cast("double")
+    names = [F.col(c).cast("long").alias(c) for c in ("row", "col")]
+    pos = F.col("pos").cast("long") if numbered else F.shiftleft(F.col("row").cast("long") - 2**31, 32) + F.col("col").cast("long")
+    entries = entries.select(*names, pos.alias("pos"), value.alias("value"))
     bad = entries.where(~(F.col("row").between(0, n - 1) & F.col("col").between(0, n - 1)) | F.col("row").isNull() | F.col("col").isNull())
-    first = bad.agg(F.min_by("col", "pos"), F.min("pos")).first()
-    if first[1] is not None:
-        raise CsrError(f"column index out of bounds at position {first[1]}: {first[0]} >= {n}", position=first[1], col=first[0], n=n)
-    return Matrix(entries, n, ordered)
+    place = F.struct("pos" if numbered else "row", "col")
+    first = bad.agg(F.min(F.struct(place.alias("place"), "col", "pos")), F.count(F.lit(1))).first()
+    if first[1]:
+        found = first[0]
+        at = found["pos"] if numbered else entries.where(place < F.struct(*[F.lit(x).cast("long") for x in found["place"]])).count()
+        raise CsrError(f"column index out of bounds at position {at}: {found['col']} >= {n}", position=at, col=found["col"], n=n)
+    return Matrix(entries, n, ordered, single, numbered)
 
 
-def from_edges(edges: DataFrame, n: int, shift: DataFrame | None = None) -> Matrix:
+def from_edges(edges: DataFrame, n: int, shift: DataFrame | None = None, single: bool = False) -> Matrix:
     """The Laplacian of weighted edges (u, v, w), plus a diagonal ``shift`` (vertex, value) if given."""
     off = edges.select("u", "v", "w")
     entries = off.select(F.col("u").alias("row"), F.col("v").alias("col"), (-F.col("w")).alias("value"))
@@ -134,18 +161,29 @@ def from_edges(edges: DataFrame, n: int, shift: DataFrame | None = None) -> Matr
     entries = entries.unionByName(ends.select("row", F.col("row").alias("col"), "value"))
     if shift is not None:
         entries = entries.unionByName(shift.select(F.col("vertex").alias("row"), F.col("vertex").alias("col"), "value"))
-    return from_entries(entries, n)
+    return from_entries(entries, n, single=single)
 
 
-def read_parquet(spark: SparkSession, path: str, n: int, ordered: bool = False) -> Matrix:
+def read_parquet(spark: SparkSession, path: str, n: int, ordered: bool = False, single: bool = False) -> Matrix:
     """A matrix from a Parquet table of entries (row, col, value[, pos])."""
-    return from_entries(spark.read.parquet(path), n, ordered)
+    return from_entries(spark.read.parquet(path), n, ordered, single)
+
+
+def rows(matrix: Matrix) -> DataFrame:
+    """``row, cols, values`` of every row in the stored order, empty rows too; a row is gathered in one task."""
+    own = matrix.entries.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "col", "value"))).alias("own"))
+    every = matrix.vertices.withColumnRenamed("vertex", "row").join(own, "row", "left")
+    part = lambda c, kind: F.coalesce(F.transform("own", lambda x: x[c]), F.array().cast(f"array<{kind}>"))
+    return every.select("row", part("col", "long").alias("cols"), part("value", "double").alias("values"))
 
 
-def to_csr(matrix: Matrix) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """CSR arrays of a matrix that fits the driver."""
-    rows = matrix.entries.orderBy("row", "pos").toArrow()
-    row = rows.column("row").to_numpy() if rows.num_rows else np.zeros(0, np.int64)
+def to_csr(matrix: Matrix, index: Any = np.int64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """CSR arrays of a matrix that fits the driver, with indices of the type ``index``, which must hold them all."""
+    kind = np.dtype(index)
+    found = matrix.entries.orderBy("row", "pos").toArrow()
+    if (most := max(matrix.n, found.num_rows)) > np.iinfo(kind).max:
+        raise CsrError(f"{most} does not fit {kind.name} indices", most=most)
+    row = found.column("row").to_numpy() if found.num_rows else np.zeros(0, np.int64)
     ptrs = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=matrix.n))])
-    get = lambda c, t: rows.column(c).to_numpy() if rows.num_rows else np.zeros(0, t)
-    return ptrs.astype(np.int64), get("col", np.int64), get("value", np.float64)
+    get = lambda c, t: (found.column(c).to_numpy() if found.num_rows else np.zeros(0)).astype(t)
+    return ptrs.astype(kind), get("col", kind), get("value", np.float32 if matrix.single else np.float64)

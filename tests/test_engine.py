@@ -29,7 +29,7 @@ from lapgraph.operators import kernels, pcg, rounds, sampling, vectors
 from lapgraph.operators.components import connected_components
 from lapgraph.operators.factor import check, FORMAT_VERSION, factorize, factorize_raw, faults, load
 from lapgraph.sources import generators
-from lapgraph.sources.matrix import Matrix, from_any, from_csr, from_csr_like, from_edges, from_entries, to_csr
+from lapgraph.sources.matrix import Matrix, from_any, from_csr, from_csr_like, from_edges, from_entries, rows, to_csr
 
 APPROX = Config(backend=Backend.approximate())
 BIG = np.finfo(float).max
@@ -390,3 +390,54 @@ def test_many_systems_on_one_block_meet_it_in_lots(spark, monkeypatch):
     monkeypatch.setattr(factor, "STACK", 200)
     assert len(want) == 3600 and table(factorize(m).solve(rhs)) == pytest.approx(want, abs=1e-9)
     assert table(factorize(m, APPROX).solve(rhs)) == pytest.approx(want, abs=1e-9)
+
+
+def test_single_precision(spark, tmp_path):
+    w = np.float32(0.1)
+    edges = spark.createDataFrame([(i, j, float(w * np.float32(1 + i))) for i in range(6) for j in range(i + 1, 6)], "u long, v long, w double")
+    ptr, col, val = to_csr(from_edges(edges, 6, single=True))
+    assert val.dtype == np.float32
+    assert not ing.ingest(from_csr(spark, ptr, col, val, 6, single=True)).grounded
+    far = val.astype(float)
+    far[0] *= 1 - 1e-5
+    with pytest.raises(NotDiagonallyDominant):
+        ing.ingest(from_csr(spark, ptr, col, far, 6, single=True))
+    b = np.array([1, 1, 1, -1, -1, -1])
+    for config in (Config(), Config(seed=7, split=2, backend=Backend(0))):
+        f = factorize(from_csr(spark, ptr, col, val, 6, single=True), config)
+        x = f.solve_array(b)
+        assert x.dtype == f.dtype == np.float32 and np.isfinite(x).all()
+        assert repr(f) == f"Factor(original_n=6, seed={config.seed}, copies={config.copies}, dtype=float32)"
+    f.save(str(tmp_path / "f"))
+    again = load(spark, str(tmp_path / "f"))
+    assert again.dtype == np.float32 and (again.solve_array(b) == x).all()
+    with pytest.raises(NonFiniteValue):
+        ing.ingest(from_csr(spark, [0, 1], [0], [1e39], 1, single=True))
+    top = float(np.finfo(np.float32).max)
+    with pytest.raises(NonFiniteRow):
+        ing.ingest(from_csr(spark, [0, 2], [0, 0], [top, top], 1, single=True))
+
+
+def test_rows_narrow_indices_and_sampler(spark):
+    m = from_csr(spark, [0, 3, 3, 5], [2, 0, 2, 0, 2], [-1.0, 2, -1, -2, 2], 3)
+    found = {r["row"]: (r["cols"], r["values"]) for r in rows(m).collect()}
+    assert found == {0: ([2, 0, 2], [-1.0, 2.0, -1.0]), 1: ([], []), 2: ([0, 2], [-2.0, 2.0])}
+    ptr, col, val = to_csr(m, np.uint32)
+    assert (ptr.dtype, col.dtype, val.dtype) == (np.uint32, np.uint32, np.float64)
+    assert ptr.tolist() == [0, 3, 3, 5] and col.tolist() == [2, 0, 2, 0, 2]
+    wide = from_entries(spark.createDataFrame([(0, 0, 0.0)], "row long, col long, value double"), 300)
+    with pytest.raises(CsrError, match="uint8"):
+        to_csr(wide, np.uint8)
+    assert repr(sampling.StarSampler.of(Config(seed=3, split=1))) == "StarSampler(seed=3, copies=1)"
+    with pytest.raises(CsrError, match="values must be contiguous"):
+        factorize_raw(spark, [0, 1, 2], [0, 1], np.ones(4)[::2], 2)
+
+
+def test_places_of_entries_without_positions(spark):
+    own = lambda *r: spark.createDataFrame(list(r), "row long, col long, value double").repartition(3)
+    with pytest.raises(NonFiniteValue) as e:
+        ing.ingest(from_entries(own((1, 1, 1.0), (1, 0, -1.0), (0, 1, -1.0), (0, 0, 1.0), (2, 2, math.nan)), 3))
+    assert e.value.fields == {"position": 4}
+    with pytest.raises(CsrError) as e:
+        from_entries(own((1, 1, 1.0), (1, 7, -1.0), (0, 0, 1.0)), 2)
+    assert e.value.fields == {"position": 2, "col": 7, "n": 2}
