@@ -441,3 +441,48 @@ def test_places_of_entries_without_positions(spark):
     with pytest.raises(CsrError) as e:
         from_entries(own((1, 1, 1.0), (1, 7, -1.0), (0, 0, 1.0)), 2)
     assert e.value.fields == {"position": 2, "col": 7, "n": 2}
+
+
+def _random_edges(spark, n, seed, scale=1.0, order=None):
+    rng = np.random.default_rng(seed)
+    order = np.arange(n) if order is None else order
+    pairs = [(i, i + 1) for i in range(n - 1)] + [tuple(sorted(rng.choice(n, 2, replace=False).tolist())) for _ in range(2 * n)]
+    found = [(int(order[i]), int(order[j]), float(scale * w)) for (i, j), w in zip(pairs, rng.uniform(0.5, 2, len(pairs)), strict=True)]
+    return spark.createDataFrame(found, "u long, v long, w double")
+
+
+@pytest.mark.parametrize("config", [Config(backend=Backend(30)), APPROX, Config(seed=3, split=2, backend=Backend(0))])
+def test_scaling_a_matrix_scales_its_solutions(spark, config):
+    b = np.zeros(30)
+    b[0], b[-1] = 1, -1
+    base = factorize(from_edges(_random_edges(spark, 30, 5), 30), config).solve_array(b)
+    for power in (-600, 400):
+        x = factorize(from_edges(_random_edges(spark, 30, 5, 2.0**power), 30), config).solve_array(b)
+        np.testing.assert_allclose(x * 2.0**power, base, rtol=1e-9, atol=1e-12)
+
+
+def test_renaming_vertices_renames_exact_solutions(spark):
+    order = np.random.default_rng(8).permutation(30)
+    b = np.random.default_rng(9).normal(size=30)
+    config = Config(backend=Backend(30))
+    x = factorize(from_edges(_random_edges(spark, 30, 5), 30), config).solve_array(b - b.mean())
+    moved = np.zeros(30)
+    moved[order] = b - b.mean()
+    y = factorize(from_edges(_random_edges(spark, 30, 5, order=order), 30), config).solve_array(moved)
+    np.testing.assert_allclose(y[order], x, rtol=1e-10, atol=1e-12)
+
+
+def test_rough_solutions_of_many_seeds(spark):
+    m = from_edges(_random_edges(spark, 40, 11), 40)
+    a, b = _dense(m), np.random.default_rng(2).normal(size=40)
+    b -= b.mean()
+    graph = ing.ingest(m)
+    v, e = (np.array(df.collect(), float) for df in (graph.vertices.select("vertex", "diagonal").orderBy("vertex"), graph.edges.select("u", "v", "w").orderBy("u", "v")))
+    left = {1: [], 3: []}
+    for copies, found in left.items():
+        for seed in range(96):
+            s = kernels.eliminate(v[:, 1], e[:, 0].astype(int), e[:, 1].astype(int), e[:, 2], seed, 0, copies)
+            x = kernels.approximate_solve(*(np.array(y) for y in (s.pivots, s.inverse, s.ends, s.to, s.share)), s.uneliminated, b[:, None])[:, 0]
+            found.append(np.linalg.norm(a @ x - b) / np.linalg.norm(b))
+    assert np.isfinite(left[1]).all() and np.median(left[1]) < 1
+    assert np.mean(left[3]) < np.mean(left[1])
