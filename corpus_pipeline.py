@@ -1,7 +1,8 @@
 """A corpus pipeline: documents in, packed training sequences out.
 
 Toxic documents go, one document of each class of near-duplicates stays, secrets are blotted out, and what is left is
-packed. Each stage is written and read again, so a lost executor costs the stage it hits.
+packed. Each stage is written and read again, so a lost executor costs the stage it hits; what a stage wrote on its way
+goes with its end, and its input once the next one is written.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapgraph.llm import dartminhash, packing, secrets, toxicity
-from lapgraph.storage import materialize
+from lapgraph.storage import release, settled
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,5 +59,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        before, docs = docs, settled(stage, spark, docs, sf_dir)
+        release(before)
+    pieces = STAGES[-1][1](spark, docs, sf_dir)
+    release(docs)  # the pieces are cut from written ids
+    return pieces

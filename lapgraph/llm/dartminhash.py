@@ -21,7 +21,8 @@ a pair that shares a band is in one component, compared, or ruled out by its siz
 Scale: texts are read for their sketches, and again for the elements of pairs in doubt; what is shuffled are numbers.
 Copies, representatives and classes may hold a third of all rows: joins on them deal such keys over many tasks
 (``spread_join``). Joins on buckets, of two numbers a row, read written tables on both sides, so that AQE splits a hot one
-as soon as it is large. Everything else about such keys is aggregated before the shuffle.
+as soon as it is large. Everything else about such keys is aggregated before the shuffle. Scratch tables go once they have
+been read: of signatures, elements and cells nothing is left when the classes are known.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from lapgraph.llm import wordhash
 from lapgraph.llm.texts import slices, small_batches, spread_join
 from lapgraph.operators.components import connected_components
-from lapgraph.storage import materialize
+from lapgraph.storage import materialize, release, settled
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
@@ -322,11 +323,11 @@ def links(signed: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> Data
     texts = materialize(signed.where("bands is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     sketches = texts.select("node", "sketch")
     buckets = texts.select("node", F.explode("bands").alias("bucket"))
-    shared = materialize(_shared(buckets))
+    shared = settled(_shared, buckets)
     reps = materialize(_popular(shared))
     pairs = materialize(_star(shared, reps))
-    first = materialize(_verified(pairs, sketches, docs, least))
-    joined = materialize(connected_components(first, "node", "rep"))
+    first = settled(_verified, pairs, sketches, docs, least)
+    joined = settled(connected_components, first, "node", "rep")
 
     member = shared.join(joined.select(F.col("vertex").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     member = materialize(member)
@@ -341,15 +342,17 @@ def links(signed: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> Data
     more = more.select(F.greatest("node", "rep").alias("node"), F.least("node", "rep").alias("rep")).distinct()
     met = pairs.select(F.greatest("node", "rep").alias("node"), F.least("node", "rep").alias("rep"))
     more = materialize(more.join(met, ["node", "rep"], "left_anti"))
-    linked = materialize(first.unionByName(_verified(more, sketches, docs, least)))
+    release(joined, member, parts, spans)
+    linked = settled(lambda: first.unionByName(_verified(more, sketches, docs, least)))
+    release(first)
 
     joined = connected_components(linked, "node", "rep").select(F.col("vertex").alias("node"), "component")
-    apart = materialize(_unmet(shared, reps, joined))
+    apart = settled(_unmet, shared, reps, joined)
     if apart.isEmpty():
         return linked
     sets = materialize(elements(docs, apart.select("node")))
-    rest = _candidates(apart, sets, least).join(met.unionByName(more), ["node", "rep"], "left_anti")
-    return linked.unionByName(_verified(materialize(rest), sketches, docs, least, sets))
+    rest = settled(lambda: _candidates(apart, sets, least).join(met.unionByName(more), ["node", "rep"], "left_anti"))
+    return linked.unionByName(_verified(rest, sketches, docs, least, sets))
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -362,9 +365,15 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     signed = materialize(sign(docs))
-    labels = connected_components(materialize(links(signed, docs, least)), "node", "rep").select(F.col("vertex").alias("node"), "component")
-    placed = spread_join(signed.select("doc_id", "node"), labels, "node", "left")
-    placed = materialize(placed.select("doc_id", "node", F.coalesce("component", "node").alias("class_id")))
+    linked = settled(links, signed, docs, least)
+
+    def place() -> DataFrame:
+        labels = connected_components(linked, "node", "rep").select(F.col("vertex").alias("node"), "component")
+        placed = spread_join(signed.select("doc_id", "node"), labels, "node", "left")
+        return placed.select("doc_id", "node", F.coalesce("component", "node").alias("class_id"))
+
+    placed = settled(place)
+    release(signed, linked)
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("node"))
     heads = materialize(placed.groupBy("class_id").agg(F.min(first).alias("head"), F.count(F.lit(1)).alias("class_size")))
     named = spread_join(placed, heads, "class_id")
@@ -380,7 +389,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 def deduplicate(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each class: its representative, once."""
-    found = materialize(classes(docs, least))
+    found = settled(lambda: classes(docs, least).select("doc_id", "node", "representative"))
     repeated = found.where("representative").groupBy("doc_id", "node").count().where("count > 1")
     own, other, at = (_fresh(docs, n) for n in ("own_node", "other_id", "other_node"))
     rows = docs.withColumn(own, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))

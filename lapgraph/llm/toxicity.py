@@ -307,8 +307,9 @@ def classify(docs: DataFrame, labels: DataFrame, least: int = 50, seed: int = 0)
 def without_toxic(docs: DataFrame, labels: DataFrame, least: int = 50, seed: int = 0) -> DataFrame:
     """``docs`` without the rows whose score reaches their language's threshold; every column stays as it is.
 
-    Rows are judged one by one, beside their own columns: they need no key, and no text is shuffled. They are scored once and
-    written with their scores. Null texts count as empty; repeated rows stay or go together; an empty table stays empty.
+    Rows are judged one by one, beside their own columns: they need no key, and no text is shuffled. No text is written either:
+    training rows are scored for the thresholds, then every row on its way out. Null texts count as empty; repeated rows stay
+    or go together; an empty table stays empty.
     Without labels of both kinds every row stays. Needs the columns doc_id, text and lang.
     """
     net = train(docs, labels, seed)
@@ -324,8 +325,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, least: int = 50, seed: int
         return pa.array(np.concatenate([np.zeros(0), *found]))
 
     # other columns do not pass through Python
-    scored = materialize(docs.withColumn(name, F.arrow_udf(score, "double")(F.col("text"))))
-    cut, cuts = calibrate(scored.select("doc_id", "lang", F.col(name).alias("logit")), labels, least)
+    scored = docs.withColumn(name, F.arrow_udf(score, "double")(F.col("text")))
+    cut, cuts = calibrate(materialize(logits(docs.where(remainder(F.col("doc_id"), 3) != 1), net)), labels, least)
     cuts = cuts.toDF(lang, own)
     cuts = F.broadcast(cuts) if cuts.count() <= LANGUAGES else cuts  # a row per language with labelled rows
     found = scored.join(cuts, _lang() == F.col(lang), "left")

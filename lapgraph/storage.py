@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +35,10 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: What ``materialize`` wrote within each call of ``settled`` that has not ended, the innermost last.
+_within: list[list[DataFrame]] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
@@ -45,6 +50,21 @@ def materialize(df: DataFrame) -> DataFrame:
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
+    if _within:
+        _within[-1].append(out)
+    return out
+
+
+def settled(make: Callable[..., DataFrame], *args) -> DataFrame:
+    """``make(*args)``, written; the tables that ``make`` wrote on its way are deleted, so nothing else may read them."""
+    _within.append([])
+    try:
+        out = materialize(make(*args))
+        _within[-1].pop()
+    finally:
+        release(*_within.pop())
+    if _within:
+        _within[-1].append(out)
     return out
 
 

@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -6,6 +7,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lapgraph.llm import packing
+from lapgraph.storage import shared_dir
 
 
 def _tables(spark, folder):
@@ -85,3 +87,26 @@ def test_clashing_columns_long_texts_and_repeats(spark, tmp_path):
     assert set(kept) == {1, 3, None} and kept[1]["text"] == long and kept[3]["text"] == "token=[REDACTED] here" and kept[3]["_base"] == 2
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     assert {p["doc_id"] for p in pieces} == {1, 3, None}
+
+
+def _scratch(spark, folder):
+    """The columns of each table that lies in the shared folder, by its path."""
+    return {p: set(spark.read.parquet(str(p)).columns) for p in folder.glob("**/table-*") if any(p.glob("part-*"))}
+
+
+def test_stages_leave_no_texts_and_no_signatures_behind(spark, tmp_path):
+    """Scratch tables of all stages together would lie on the shared disk; only small ones and the ids outlive a stage."""
+    _tables(spark, tmp_path)
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(_scratch(spark, shared))
+    new = lambda: {frozenset(c) for p, c in _scratch(spark, shared).items() if p not in before}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/stage{k}")
+        docs = spark.read.parquet(f"{tmp_path}/stage{k}")
+        left = set().union(*new())
+        assert not left & {"text", "bands", "sketch", "hashes", "bucket", "estimate", "cell"}, name
+    before |= set(_scratch(spark, shared))
+    pieces = corpus_pipeline.run(spark, str(tmp_path))
+    assert [c for c in new() if "text" in c or "representative" in c] == [] and any("ids" in c for c in new())
+    assert pieces.count() == docs.count()
