@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapgraph.model import EPS, EPS_SINGLE, U32_MAX, CsrError
+from lapgraph.storage import materialize
 
 SCHEMA = "row long, col long, pos long, value double"
 
@@ -26,6 +27,9 @@ class Matrix:
     ``single``: values, and sums of duplicates, are rounded to single precision, rows are judged by its roundings, and
     solutions are single; what lies between is reckoned in double precision. ``numbered``: whether ``pos`` are places;
     otherwise it only sorts by row and column, and errors count the entries before the one they name.
+
+    ``edges``: of a Laplacian without a shift, the weighted edges (u, v, w) that the entries stand for, all in bounds and
+    with finite weights of 0 or more; its graph is made from them.
     """
 
     entries: DataFrame
@@ -33,6 +37,7 @@ class Matrix:
     ordered: bool = True
     single: bool = False
     numbered: bool = True
+    edges: DataFrame | None = None
 
     @property
     def eps(self) -> float:
@@ -132,16 +137,21 @@ def from_any(spark: SparkSession, source: Any) -> Matrix:
     return from_csr_like(spark, source)
 
 
+def _placed(entries: DataFrame, single: bool = False) -> DataFrame:
+    """``row, col, pos, value`` of entries (row, col, value[, pos])."""
+    value = F.col("value").cast("float").cast("double") if single else F.col("value").cast("double")
+    names = [F.col(c).cast("long").alias(c) for c in ("row", "col")]
+    pos = F.col("pos").cast("long") if "pos" in entries.columns else F.shiftleft(F.col("row").cast("long") - 2**31, 32) + F.col("col").cast("long")
+    return entries.select(*names, pos.alias("pos"), value.alias("value"))
+
+
 def from_entries(entries: DataFrame, n: int, ordered: bool = False, single: bool = False) -> Matrix:
     """A matrix from rows (row, col, value[, pos]); indices outside 0..n-1 are raised, the first by position.
 
     Without ``pos`` entries count as stored by row and column.
     """
     numbered = "pos" in entries.columns
-    value = F.col("value").cast("float").cast("double") if single else F.col("value").cast("double")
-    names = [F.col(c).cast("long").alias(c) for c in ("row", "col")]
-    pos = F.col("pos").cast("long") if numbered else F.shiftleft(F.col("row").cast("long") - 2**31, 32) + F.col("col").cast("long")
-    entries = entries.select(*names, pos.alias("pos"), value.alias("value"))
+    entries = _placed(entries, single)
     bad = entries.where(~(F.col("row").between(0, n - 1) & F.col("col").between(0, n - 1)) | F.col("row").isNull() | F.col("col").isNull())
     place = F.struct("pos" if numbered else "row", "col")
     first = bad.agg(F.min(F.struct(place.alias("place"), "col", "pos")), F.count(F.lit(1))).first()
@@ -153,12 +163,20 @@ def from_entries(entries: DataFrame, n: int, ordered: bool = False, single: bool
 
 
 def from_edges(edges: DataFrame, n: int, shift: DataFrame | None = None, single: bool = False) -> Matrix:
-    """The Laplacian of weighted edges (u, v, w), plus a diagonal ``shift`` (vertex, value) if given."""
-    off = edges.select("u", "v", "w")
+    """The Laplacian of weighted edges (u, v, w), plus a diagonal ``shift`` (vertex, value) if given.
+
+    The edges are written once, in the order they come in.
+    """
+    off = materialize(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("w").cast("double").alias("w")))
     entries = off.select(F.col("u").alias("row"), F.col("v").alias("col"), (-F.col("w")).alias("value"))
     entries = entries.unionByName(off.select(F.col("v").alias("row"), F.col("u").alias("col"), (-F.col("w")).alias("value")))
     ends = off.select(F.explode(F.array("u", "v")).alias("row"), "w").groupBy("row").agg(F.sum("w").alias("value"))
     entries = entries.unionByName(ends.select("row", F.col("row").alias("col"), "value"))
+    if shift is None and not single:
+        inside = F.col("u").between(0, n - 1) & F.col("v").between(0, n - 1)
+        sound = inside & (F.col("w") >= 0) & (F.col("w") < float("inf"))
+        if off.where(~F.coalesce(sound, F.lit(False))).isEmpty():
+            return Matrix(_placed(entries), n, False, numbered=False, edges=off)
     if shift is not None:
         entries = entries.unionByName(shift.select(F.col("vertex").alias("row"), F.col("vertex").alias("col"), "value"))
     return from_entries(entries, n, single=single)

@@ -486,3 +486,18 @@ def test_rough_solutions_of_many_seeds(spark):
             found.append(np.linalg.norm(a @ x - b) / np.linalg.norm(b))
     assert np.isfinite(left[1]).all() and np.median(left[1]) < 1
     assert np.mean(left[3]) < np.mean(left[1])
+
+
+def test_edges_become_a_graph_without_a_matrix_between(spark, monkeypatch):
+    rows = [(3, 1, 2.0), (1, 3, 4.0), (1, 2, 1.0), (5, 5, 9.0), (4, 2, 0.0), (6, 7, 1.0), (8, 7, 0.5), (2, 3, 8.0)]
+    edges = spark.createDataFrame(rows, "u long, v long, w double").repartition(3)
+    table = lambda g: (sorted(map(tuple, g.vertices.select("vertex", "diagonal", "block").collect())), sorted(map(tuple, g.edges.select("u", "v", "w", "block").collect())))
+    plain = from_edges(edges, 10)
+    want = table(ing.ingest(Matrix(plain.entries, 10, False, numbered=False)))
+    monkeypatch.setattr(ing, "coalesce", None)
+    assert table(ing.ingest(plain)) == want
+    monkeypatch.undo()
+    with pytest.raises(PositiveOffDiagonal):
+        ing.ingest(from_edges(spark.createDataFrame([(0, 1, -1.0)], "u long, v long, w double"), 2))
+    with pytest.raises(NonFiniteValue):
+        ing.ingest(from_edges(spark.createDataFrame([(0, 1, math.nan)], "u long, v long, w double"), 2))
