@@ -501,3 +501,51 @@ def test_edges_become_a_graph_without_a_matrix_between(spark, monkeypatch):
         ing.ingest(from_edges(spark.createDataFrame([(0, 1, -1.0)], "u long, v long, w double"), 2))
     with pytest.raises(NonFiniteValue):
         ing.ingest(from_edges(spark.createDataFrame([(0, 1, math.nan)], "u long, v long, w double"), 2))
+
+
+def test_conjugate_gradients_run_block_by_block(spark, monkeypatch):
+    """A floating grid, a grounded path, an exact block and a lone vertex: no product by tables, the solution of the matrix."""
+    edges = generators.grid(spark, 7, 7).unionByName(generators.path(spark, 40).select(F.col("u") + 49, F.col("v") + 49, "w").toDF("u", "v", "w"))
+    edges = edges.unionByName(spark.createDataFrame([(89, 90, 2.0), (90, 91, 1.0)], "u long, v long, w double"))
+    m = from_edges(edges, 93, spark.createDataFrame([(60, 1.0), (75, 0.5)], "vertex long, value double"))
+    a, b = _dense(m), np.random.default_rng(3).normal(size=93)
+    for lo, hi in ((0, 49), (89, 92)):
+        b[lo:hi] -= b[lo:hi].mean()
+    b[92] = 0.0
+    rhs = spark.createDataFrame([(i, float(x)) for i, x in enumerate(b)], "vertex long, value double")
+    f = factorize(m)
+    monkeypatch.setattr(pcg, "multiply", None)
+    found = pcg.conjugate_gradients(m, rhs, f, 1e-10)
+    x = np.zeros(93)
+    for r in found.x.collect():
+        x[r["vertex"]] = r["value"]
+    assert found.converged and found.iterations < 49
+    assert np.linalg.norm(b - a @ x) <= 1e-8 * np.linalg.norm(b)
+
+
+@pytest.mark.parametrize("copies", [1, 3])
+@pytest.mark.parametrize("dense", [4, 2048])
+def test_array_elimination(monkeypatch, copies, dense):
+    """On a tree exact; on a grid and a crowded graph a permutation whose solve brings conjugate gradients home sooner."""
+    monkeypatch.setattr(kernels, "WIDE", 0)
+    monkeypatch.setattr(kernels, "DENSE", dense)
+    rng = np.random.default_rng(2)
+    tree = (np.arange(1, 300), rng.integers(0, np.arange(1, 300)), rng.uniform(0.1, 9, 299))
+    at = np.arange(900)
+    right, down = at[at % 30 < 29], at[:-30]
+    grid = (np.r_[right, down], np.r_[right + 1, down + 30], np.ones(len(right) + len(down)))
+    u, v = np.triu_indices(60, 1)
+    crowd = (u, v, rng.uniform(0.5, 2, len(u)))
+    for n, (u, v, w) in ((300, tree), (900, grid), (60, crowd)):
+        diagonal = np.bincount(u, w, n) + np.bincount(v, w, n)
+        s = kernels.eliminate(diagonal, u, v, w, 1, 0, copies)
+        assert sorted([*np.asarray(s.pivots).tolist(), s.uneliminated]) == list(range(n))
+        parts = (np.asarray(s.pivots), np.asarray(s.inverse), np.asarray(s.ends), np.asarray(s.to), np.asarray(s.share), s.uneliminated)
+        levels = kernels.Levels(*parts, n)
+        b = rng.normal(size=n)
+        b -= b.mean()
+        assert levels.solve(b) == pytest.approx(kernels.approximate_solve(*parts, b[:, None])[:, 0])
+        apply = lambda r, levels=levels: kernels.recovered(levels.solve(r - r.mean())[:, None], False)[:, 0]
+        x, helped, left, size = kernels.gradients((diagonal, u, v, w), False, apply, b, 1e-10, 500)
+        assert left <= 1e-20 * size and helped < (2 if n == 300 else 60)
+        assert diagonal * x - np.bincount(u, w * x[v], n) - np.bincount(v, w * x[u], n) == pytest.approx(b, abs=1e-7)
