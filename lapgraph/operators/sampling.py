@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapgraph.model import Config
+from lapgraph.operators.kernels import uniform
 
 
 def merge(entries: DataFrame, k: int = 1) -> DataFrame:
@@ -63,27 +67,109 @@ def expected_weight(stars: DataFrame, factor: Column) -> DataFrame:
 def sample_stars(stars: DataFrame, seed: int = 0, k: int = 1) -> DataFrame:
     """``index, lo, hi, weight``: the sampled edges of every star of ``stars`` (index, neighbor, weight).
 
-    Entry i (ascending) meets k later entries, drawn by weight; the draw is a hash of (seed, index, i, copy), so a star's
+    Entry i (ascending) meets k later entries, drawn by weight; the draw is a hash of (seed, index, neighbour, copy), so a star's
     edges do not depend on other stars, their order or partitions. Stars without a positive finite total give no edges.
-    Draws and entries are merged by one sort per star instead of being compared pair by pair.
+    Entries are sorted once and drawn from as they stream by; no draw is ever sorted or shuffled.
     """
     k = max(1, k)
-    own = stars.where(F.col("weight").isNotNull()).select("index", "neighbor", F.col("weight").cast("double").alias("weight"), F.lit(k).alias("copies"))
-    total = F.sum("weight").over(Window.partitionBy("index"))
-    own = own.withColumn("total", total).where((F.col("total") > 0) & (F.col("total") < float("inf")) & ~F.isnan("total"))
-    along = Window.partitionBy("index").orderBy("weight", "neighbor")
-    # suffixes are taken downwards: Spark starts a frame that ends at the last row anew at every row
-    down = Window.partitionBy("index").orderBy(F.desc("weight"), F.desc("neighbor")).rowsBetween(Window.unboundedPreceding, -1)
-    later = F.coalesce(F.sum("weight").over(down), F.lit(0.0))
-    own = own.withColumn("i", F.row_number().over(along)).withColumn("later", later)
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "index", "i", "copy"), 11) * F.lit(2.0**-53)
-    draws = own.where("later > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(k))))
-    # a draw r in (0, later] of entry i goes to the last entry j > i whose suffix sum reaches r
-    draws = draws.select("index", F.col("neighbor").alias("a"), (F.col("weight") * (F.col("later") / F.col("total")) / k).alias("fill"), (F.col("later") * (F.lit(1.0) - u)).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("b"))
-    marks = own.select("index", F.lit(None).cast("long").alias("a"), F.lit(None).cast("double").alias("fill"), (F.col("later") + F.col("weight")).alias("at"), F.lit(2).alias("kind"), F.col("neighbor").cast("long").alias("b"))
-    ahead = Window.partitionBy("index").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = draws.unionByName(marks).withColumn("to", F.last("b", ignorenulls=True).over(ahead)).where("kind = 1 and fill > 0 and to is not null and to != a")
-    return met.select("index", F.least("a", "to").alias("lo"), F.greatest("a", "to").alias("hi"), F.col("fill").alias("weight"))
+    own = stars.where("weight is not null and neighbor is not null")
+    own = own.select("index", F.col("neighbor").cast("long").alias("neighbor"), F.col("weight").cast("double").alias("weight"))
+    # a star's entries follow each other from the greatest: the later entries of each one have passed before it
+    own = own.repartition("index").sortWithinPartitions("index", F.desc("weight"), F.desc("neighbor"))
+    own = own.withColumn("total", F.sum("weight").over(Window.partitionBy("index")))
+    met = own.where((F.col("total") > 0) & (F.col("total") < float("inf")) & ~F.isnan("total")).withColumn("key", F.xxhash64(F.lit(seed), "index", "neighbor"))
+    kind = stars.schema["index"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, passed = object(), Passed()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = batch.column("index").dictionary_encode(null_encoding="encode").indices.to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
+            at = pa.array(np.array(cuts[:-1]))
+            names = batch.column("index").take(at).to_pylist()
+            if names[0] != last:
+                passed = Passed()
+            neighbor, weight, total = (batch.column(c).to_numpy() for c in ("neighbor", "weight", "total"))
+            key = batch.column("key").to_numpy().astype(np.uint64)
+            passed, of, to, fill = passed.draw(np.array(cuts), neighbor, weight, total, key, k)
+            last = names[-1]
+            for x in range(0, len(of), DRAWS):
+                a, b = neighbor[of[x : x + DRAWS]], to[x : x + DRAWS]
+                index = batch.column("index").take(pa.array(of[x : x + DRAWS]))
+                yield pa.RecordBatch.from_arrays([index, pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(fill[x : x + DRAWS])], ["index", "lo", "hi", "weight"])
+
+    return met.mapInArrow(run, f"index {kind}, lo long, hi long, weight double")
+
+
+#: Draws that leave a task's Python at once.
+DRAWS = 65_536
+
+
+class Passed:
+    """The entries of a star that have gone by, from the greatest: neighbours and running sums of weights (16 bytes each)."""
+
+    def __init__(self, neighbors: list[np.ndarray] | None = None, sums: list[np.ndarray] | None = None):
+        self.neighbors, self.sums = neighbors or [], sums or []
+
+    def draw(self, cuts: np.ndarray, neighbor: np.ndarray, weight: np.ndarray, total: np.ndarray, key: np.ndarray, k: int):
+        """Entries of a batch, star by star between ``cuts``; the first star continues this one.
+
+        What has passed of the last star; and of every drawn edge the entry, the later entry's name and the weight.
+        """
+        before = float(self.sums[-1][-1]) if self.sums else 0.0
+        start = np.repeat(cuts[:-1], np.diff(cuts))
+        sums = _running(weight, start)
+        first = slice(0, int(cuts[1]))
+        sums[first] += before
+        at = np.arange(len(weight))
+        later = np.where(at > start, sums[np.maximum(at - 1, 0)], 0.0)
+        if before:
+            later[0] = before
+        fill = weight * (later / total) / k
+        of = np.repeat(np.flatnonzero((later > 0) & (fill > 0)), k)
+        copy = np.tile(np.arange(k), len(of) // k)
+        r = later[of] * (1.0 - uniform(0, key[of], copy))
+        # the first entry, from the greatest, by which the running sum reaches r
+        low, high = start[of], of - 1
+        if self.sums:  # the first star's draws may go to entries of earlier batches
+            mine = np.flatnonzero(of < cuts[1])
+            old = mine[r[mine] <= before]
+        else:
+            old = np.zeros(0, np.int64)
+        high = np.maximum(high, low)
+        while (low < high).any():
+            mid = (low + high) // 2
+            reaches = sums[mid] >= r
+            high = np.where(reaches, mid, high)
+            low = np.where(reaches, low, np.minimum(mid + 1, high))
+        to = neighbor[low]
+        if len(old):
+            self._joined()
+            to[old] = self.neighbors[0][np.minimum(np.searchsorted(self.sums[0], r[old], side="left"), len(self.sums[0]) - 1)]
+        tail = slice(int(cuts[-2]), len(weight))
+        if len(cuts) == 2:
+            own = Passed([*self.neighbors, neighbor[tail].copy()], [*self.sums, sums[tail].copy()])
+        else:
+            own = Passed([neighbor[tail].copy()], [sums[tail].copy()])
+        loop = to == neighbor[of]  # a neighbour that stands twice in its star
+        return own, of[~loop], to[~loop], fill[of][~loop]
+
+    def _joined(self) -> None:
+        if len(self.sums) > 1:
+            self.neighbors, self.sums = [np.concatenate(self.neighbors)], [np.concatenate(self.sums)]
+
+
+def _running(x: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Running sums of runs, each begun at ``start``; doubled spans keep them accurate."""
+    s, at, d = x.copy(), np.arange(len(x)), 1
+    span = int((at - start).max()) + 1 if len(x) else 0
+    while d < span:
+        inside = at - d >= start
+        s[inside] += s[at[inside] - d].copy()
+        d *= 2
+    return s
 
 
 @dataclass(frozen=True)

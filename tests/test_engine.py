@@ -549,3 +549,33 @@ def test_array_elimination(monkeypatch, copies, dense):
         x, helped, left, size = kernels.gradients((diagonal, u, v, w), False, apply, b, 1e-10, 500)
         assert left <= 1e-20 * size and helped < (2 if n == 300 else 60)
         assert diagonal * x - np.bincount(u, w * x[v], n) - np.bincount(v, w * x[u], n) == pytest.approx(b, abs=1e-7)
+
+
+def test_sampled_stars_stream_by(spark, monkeypatch):
+    """Stars longer than an Arrow batch, short ones and one without a name: as many draws as asked for, by weight, and none of them sorted."""
+    stars = spark.range(700).select(F.when(F.col("id") % 7 < 5, 1).when(F.col("id") % 7 == 5, F.col("id")).cast("long").alias("index"), F.col("id").alias("neighbor"), F.pow(F.lit(2.0), F.col("id") % 4).alias("weight"))
+    stars = stars.withColumn("index", F.when(F.col("index") > 1, F.col("index") % 35).otherwise(F.col("index")))
+    sampled = sampling.sample_stars(stars, 1, 16)
+    plan = sampled._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange") <= 1
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    tables = []
+    try:
+        for rows in ("64", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            tables.append(sorted(map(tuple, sampling.sample_stars(stars, 1, 16).withColumn("index", F.coalesce("index", F.lit(-1))).collect())))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [t[:3] for t in tables[0]] == [t[:3] for t in tables[1]]
+    own = {}
+    for r in stars.collect():
+        own.setdefault(-1 if r["index"] is None else r["index"], []).append(r["weight"])
+    for index, w in own.items():
+        drawn = [t for t in tables[0] if t[0] == index]
+        assert len(drawn) == 16 * (len(w) - 1)
+        assert sum(t[3] for t in drawn) == pytest.approx((sum(w) ** 2 - sum(x * x for x in w)) / (2 * sum(w)))
+        if len(w) > 100:
+            share = sum(t[3] * (t[2] % 4 == 3) for t in drawn) / sum(t[3] for t in drawn)
+            pairs = [(a, b) for a in range(len(w)) for b in range(a)]
+            want = sum(w[a] * w[b] for a, b in pairs if w[a] == 8) / sum(w[a] * w[b] for a, b in pairs)
+            assert share == pytest.approx(want, abs=0.05)
