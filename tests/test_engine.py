@@ -608,3 +608,14 @@ def test_rounds_hand_on_only_what_is_left(spark, monkeypatch, tmp_path):
     assert found.converged and found.iterations <= 3
     hubs = from_edges(spark.range(50).select(F.col("id").alias("u"), F.lit(50).cast("long").alias("v"), F.lit(1.0).alias("w")).unionByName(generators.grid(spark, 5, 10)), 51)
     assert factorize(hubs, APPROX, local=100).large is not None  # 51 vertices, but 135 edges
+
+
+def test_checks_of_a_factor_grow_with_its_size_alone(spark, monkeypatch):
+    f = factorize(from_edges(generators.interleaved_paths(spark, 70_000, 7), 70_000), APPROX)
+    monkeypatch.setattr(F, "countDistinct", None)
+    check(f)
+    for n, changed in ((70_001, f.blocks), (70_000, f.blocks.withColumn("vertices", F.when(F.col("block") == 3, F.transform("vertices", lambda v: v - 1)).otherwise(F.col("vertices"))))):
+        with pytest.raises(FactorError):
+            check(type(f)(changed, n, APPROX))
+    plan = faults(f.blocks)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_contains") <= plan.count("uneliminated") and "array_except" in plan
